@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threatloom.llm import exact_dedup, mixing
+from threatloom.llm import exact_dedup, mixing, parity_join
 from threatloom.llm.common import documents
 
 
@@ -14,16 +14,22 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.jaccard_classes(documents(spark, sf_dir), parity_join.SHINGLE_WORDS, *parity_join.AT_LEAST)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir), mixing.WEIGHTS)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op7_mixing": op7_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op4_ngram_jaccard": parity_join.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
 }
