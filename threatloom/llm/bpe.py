@@ -38,11 +38,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threatloom.llm.common import strings
+
 #: Largest tokenizer file that is broadcast.
 LARGEST_FILE = 64 << 20
-#: Pieces whose ids a worker remembers; beyond it starts anew.
-REMEMBERED = 500_000
-#: Longer pieces are encoded each time they occur.
+#: Code points that the regex module counts as letters or numbers
+#: and the tokenizers library (Unicode 16) does not know yet.
+NEWER = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF "
+    "10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF "
+    "18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 "
+    "1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD "
+    "323B0-33479 3D000-3FC3F"
+)
+#: Capitals that the library lower-cases and Python's tables
+#: don't know yet, and how far off their small letters are.
+CAPITALS = "1C89:1 A7CB:-A567 A7CC:1 A7CE:1 A7D2:1 A7D4:1 A7DA:1 A7DC:-A641 10D50-10D65:20 16EA0-16EB8:1B"
+#: Runs whose ids a worker remembers; beyond it starts anew.
+REMEMBERED = 600_000
+#: Longer runs are encoded each time they occur.
 LONGEST_REMEMBERED = 64
 
 
@@ -55,7 +69,7 @@ def byte_symbols() -> list[str]:
 
 
 class Tokenizer(dict):
-    """Encodes and decodes; as a dict it maps pieces of text to their ids."""
+    """Encodes and decodes; as a dict it maps runs without white space to their ids."""
 
     def __init__(self, data: bytes):
         spec = json.loads(data)
@@ -67,10 +81,20 @@ class Tokenizer(dict):
         self.suffix = model["end_of_word_suffix"]
         # \s of the file is Unicode's White_Space
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pieces = regex.compile(pattern.replace("[^\\s", "[^\\p{White_Space}")).findall
+        self.plain = regex.compile(pattern.replace("[^\\s", "[^\\p{White_Space}")).findall
+        newer = "[" + "".join("-".join(f"\\U{int(x, 16):08X}" for x in r.split("-")) for r in NEWER.split()) + "]"
+        self.small: dict[int, int] = {}
+        for span, off in (x.split(":") for x in CAPITALS.split()):
+            low, high = (int(x, 16) for x in (span.split("-") * 2)[:2])
+            self.small |= {c: c + int(off, 16) for c in range(low, high + 1)}
+        self.newer = regex.compile(newer[:-1] + "".join(map(chr, self.small)) + "]").search
+        exact = regex.sub(r"\[?\\p\{([LN])\}\]?", rf"[\\p{{\1}}--{newer}]", pattern.replace("[^\\s\\p{L}\\p{N}]", "[^\\p{White_Space}L_N_]"))
+        exact = exact.replace("L_", f"[\\p{{L}}--{newer}]").replace("N_", f"[\\p{{N}}--{newer}]")
+        self.exact = regex.compile(exact, regex.V1).findall
+        self.spaced = regex.compile(r"\P{White_Space}+").findall
         self.special = {x["content"]: x["id"] for x in added}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if added else None
-        self.bytes = byte_symbols()
+        self.bytes = str.maketrans({chr(b): c for b, c in enumerate(byte_symbols())})
         # A symbol that ends a word is one symbol: its character moved up by END.
         self.end = 0x10000
         self.merge: dict[int, int] = {}
@@ -82,12 +106,16 @@ class Tokenizer(dict):
         if any(z <= max(p) for z, p in self.parts.items()) or len(self.parts) != len(model["merges"]):
             raise ValueError("token ids must rise with the rank of their merges")
         self.find = ahocorasick.Automaton()
-        for token, i in vocab.items():
-            if token not in self.special:
-                symbols = self.ended(token[: -len(self.suffix)]) if token.endswith(self.suffix) else token
-                self.find.add_word(symbols, (len(symbols), i))
+        texts = {self.ended(t[: -len(self.suffix)]) if t.endswith(self.suffix) else t: i for t, i in vocab.items() if t not in self.special}
+        self.size = [0] * (max(vocab.values()) + 1)
+        self.shorter = [-1] * len(self.size)  # the longest token that begins a token, besides itself
+        for symbols, i in texts.items():
+            self.find.add_word(symbols, (len(symbols), i))
+            self.size[i] = len(symbols)
+            self.shorter[i] = next((texts[symbols[:k]] for k in range(len(symbols) - 1, 0, -1) if symbols[:k] in texts), -1)
         self.find.make_automaton()
         self.fits: dict[int, bool] = {}
+        self.edges: tuple[dict, dict] = ({}, {})
         # decoding: all tokens one after another, and where each begins
         by_id = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         texts = [by_id.get(i, "").encode() for i in range(max(by_id) + 1)]
@@ -97,89 +125,116 @@ class Tokenizer(dict):
     def ended(self, symbols: str) -> str:
         return symbols[:-1] + chr(ord(symbols[-1]) + self.end)
 
-    def compatible(self, a: int, b: int) -> bool:
-        """Whether merging in rank order leaves the boundary between ``a`` and ``b``."""
-        key = a << 32 | b
-        if key not in self.fits:
-            self.fits[key] = self._compatible(a, b)
-        return self.fits[key]
+    def edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The symbols that stand at one side (0 left, 1 right) of a token at
+        some time while it is merged, each with the token that ends it."""
+        found = self.edges[side].get(token)
+        if found is None:
+            found, part = [(token, 1 << 31)], token
+            while part in self.parts:
+                part, above = self.parts[part][side], part
+                found.append((part, above))
+            self.edges[side][token] = found
+        return found
 
     def _compatible(self, a: int, b: int) -> bool:
-        # Symbols that stand at the boundary at some time, with the token that
-        # ends them: last parts of a on its left, first parts of b on its right.
-        left, right, never = [(a, 1 << 31)], [(b, 1 << 31)], (-1, -1)
-        while (x := self.parts.get(left[-1][0], never)[1]) >= 0:
-            left.append((x, left[-1][0]))
-        while (x := self.parts.get(right[-1][0], never)[0]) >= 0:
-            right.append((x, right[-1][0]))
-        for x, x_until in left:
-            for y, y_until in right:
+        """Whether merging in rank order leaves the boundary between ``a`` and ``b``."""
+        merge = self.merge
+        for x, x_until in self.edge(a, 1):
+            for y, y_until in self.edge(b, 0):
                 # Of equal merges the leftmost comes first: the one across
                 # precedes one inside b, not one inside a.
-                z = self.merge.get(x << 32 | y)
+                z = merge.get(x << 32 | y)
                 if z is not None and z < x_until and z <= y_until:
                     return False
         return True
 
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self.encode_piece(piece)
-        if len(piece) <= LONGEST_REMEMBERED:
+    def __missing__(self, run: str) -> tuple[int, ...]:
+        """The ids of a run without white space."""
+        # tuples of numbers: the garbage collector passes over them
+        ids = tuple(chain.from_iterable(map(self.encode_piece, self.pieces(run))))
+        if len(run) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED:
                 self.clear()
-            if len(self.fits) >= 4 * REMEMBERED:
+            if len(self.fits) >= 2 * REMEMBERED:
                 self.fits.clear()
-            self[piece] = ids
+            self[run] = ids
         return ids
 
     def encode_piece(self, piece: str) -> list[int]:
-        symbols = self.ended("".join(map(self.bytes.__getitem__, piece.encode())))
-        n = len(symbols)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (size, i) in self.find.iter(symbols):
-            starts[end - size + 1].append((size, i))  # by rising size, as ends rise
+        symbols = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.bytes)
+        symbols = self.ended(symbols)
+        # The longest token at each step; mostly their pairs are compatible and this is the result.
+        ids = [i for _, (_, i) in self.find.iter_long(symbols)]
+        fits = self.fits
+        for a, b in zip(ids, ids[1:], strict=False):
+            key = a << 32 | b
+            ok = fits.get(key)
+            if ok is None:
+                ok = fits[key] = self._compatible(a, b)
+            if not ok:
+                return self.backtrack(symbols)
+        return ids
+
+    def backtrack(self, symbols: str) -> list[int]:
+        n, size, shorter, fits = len(symbols), self.size, self.shorter, self.fits
+        longest = [0] * n
+        for end, (length, i) in self.find.iter(symbols):
+            longest[end - length + 1] = i  # ends rise, so the last one is the longest
         dead = bytearray(n + 1)
         ids: list[int] = []
-        places: list[int] = []  # where each token so far begins
-        tried: list[int] = []  # of each token so far: its place among those that start there
-        at, k = 0, len(starts[0]) - 1
-        while at < n:
-            while k >= 0:
-                size, i = starts[at][k]
-                if not dead[at + size] and (not ids or self.compatible(ids[-1], i)):
-                    break
-                k -= 1
-            if k >= 0:
-                ids.append(i)
-                places.append(at)
-                tried.append(k)
-                at += size
-                k = len(starts[at]) - 1 if at < n else -1
+        at, token = 0, longest[0]
+        while True:
+            while token >= 0:
+                end = at + size[token]
+                if not dead[end]:
+                    if not ids:
+                        break
+                    key = ids[-1] << 32 | token
+                    ok = fits.get(key)
+                    if ok is None:
+                        ok = fits[key] = self._compatible(ids[-1], token)
+                    if ok:
+                        break
+                token = shorter[token]
+            if token >= 0:
+                ids.append(token)
+                at = end
+                if at == n:
+                    return ids
+                token = longest[at]
             else:
                 dead[at] = 1
-                ids.pop()
-                k = tried.pop()
-                at = places.pop()
-                k -= 1
-        return ids
+                token = ids.pop()
+                at -= size[token]
+                token = shorter[token]
 
-    def normalised(self, text: str) -> str:
-        if text.isascii():
-            return text.lower()
-        # each character by itself: no special form of a final sigma
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    def pieces(self, run: str) -> list[str]:
+        if not run.isascii() and self.newer(run):
+            return self.exact(run.translate(self.small))
+        return self.plain(run)
 
-    def encode(self, text: str | None) -> list[int]:
+    def runs(self, text: str) -> list[str]:
+        """The normalised text's runs without white space; no piece spans two."""
+        if text.isascii():
+            text = text.lower()
+        else:  # each character by itself: no special form of a final sigma
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split() only
+            return self.spaced(text)
+        return text.split()
+
+    def encode(self, text: str | None, special: bool = True) -> list[int]:
+        """``special``: whether special tokens' strings become their ids, or are ordinary text."""
         if not text:
             return []
-        parts = self.split(text) if self.split else [text]
-        if len(parts) == 1:
-            return list(chain.from_iterable(map(self.__getitem__, self.pieces(self.normalised(text)))))
+        parts = self.split(text) if self.split and special else [text]
         out: list[int] = []
         for part in parts:
-            if part in self.special:
+            if special and part in self.special:
                 out.append(self.special[part])
             else:
-                out += chain.from_iterable(map(self.__getitem__, self.pieces(self.normalised(part))))
+                out += chain.from_iterable(map(self.__getitem__, self.runs(part)))
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -232,7 +287,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
 
     def make(texts: pa.Array) -> pa.Array:
         t = tokenizer(file.value)
-        ids = [np.array(t.encode(x.as_py()), np.int32) for x in texts]
+        ids = [np.array(t.encode(x), np.int32) for x in strings(texts)]
         at = np.cumsum([0, *map(len, ids)])
         return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,18 +28,33 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or context.getCheckpointDir()).rstrip("/")
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside drop their shuffle files when they end.  Used where
+    the result is written to the shared folder, so nobody reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back: later
     steps neither recompute it nor depend on one executor."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_removed(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """As :func:`cut`, but as a Parquet table, for wide rows of which later
     steps read some columns."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -70,3 +86,12 @@ def fresh(taken: list[str], *names: str) -> list[str]:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def strings(column) -> list[str | None]:
+    """A batch's strings (an Arrow array); bytes that are not UTF-8 are replaced."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        raw = column.view("binary").to_pylist() if hasattr(column, "view") else [x.as_buffer().to_pybytes() for x in column]
+        return [None if x is None else x.decode("utf-8", "replace") for x in raw]

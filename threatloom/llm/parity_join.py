@@ -8,14 +8,17 @@ distance of two sketches is at most the symmetric difference of the sets.
    ``k`` holds pairs whose larger set has a size in ``[edge k, edge k+1)``; a set
    takes part in its own band, and in the next if it may be the smaller partner.
 2. Pigeonhole: in a band, linked sets differ in at most ``D`` shingles, hence in
-   at most ``D`` of ``D + 1`` blocks.  One block at least is equal.  The join key
-   is a digest of (band, block, bits of the block).
+   at most ``D`` blocks of the sketch.  With ``D + 1 + E`` blocks ``E + 1`` at least
+   are equal, so the two share one among the ``D + 1`` rarest of either.  The join
+   key is a digest of (band, block, bits of the block); by its rarest keys a set
+   meets few others, even if most of its blocks are those of a large group.
 3. Identical sets are merged first, so copies are never paired.
 4. In every bucket (sets with the same key) all are verified against one hub.
    Most links of a group of near copies then exist already; components are
    built, and only pairs from different components of one bucket are verified
-   in addition.  ``1 - Jaccard`` is a metric, so pairs whose distances to the hub
-   differ by more than the limit are passed over without being emitted.
+   in addition.  Passed over without being emitted are pairs whose distances to
+   the hub differ by more than the limit (``1 - Jaccard`` is a metric), and those
+   whose folded sketches differ in more bits than linked sets can.
 
 No bucket is capped and no link between different texts is lost.
 
@@ -34,7 +37,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threatloom.llm.common import cut, written
@@ -42,6 +45,8 @@ from threatloom.llm.components import components
 
 #: Bits of each block of the sketch.
 BITS = 4096
+#: Bits of the folded sketch that candidates are compared by.
+FOLDED = 2048
 #: Width of a size band.
 WIDTH = 1.35
 #: Words whose hashes a worker remembers; beyond it starts anew.
@@ -94,17 +99,25 @@ def most_different(high: int, p: int, q: int) -> int:
     return 2 * high * (q - p) // (q + p)
 
 
-def block_keys(hashes: np.ndarray, p: int, q: int) -> np.ndarray:
-    """The join keys of a set, as signed 64-bit numbers."""
-    n = len(hashes)
+def spare(need: int) -> int:
+    """``E`` for ``D + 1 = need``."""
+    return need // 2
+
+
+def block_keys(hashes: np.ndarray, p: int, q: int) -> tuple[np.ndarray, list[int]]:
+    """The join keys of a set, as signed 64-bit numbers whose lowest bit is that
+    of the band, and ``D + 1`` for the even and the odd band (0: not in it)."""
+    n, needs = len(hashes), [0, 0]
     if not n:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), needs
     edges = band_edges(n)  # edges[-2] <= n < edges[-1]
     own, out = len(edges) - 2, []
     for band, high in ((own, edges[-1] - 1), (own + 1, max(edges[-1] + 1, -int(-edges[-1] * WIDTH // 1)) - 1)):
         if band > own and n * q < p * edges[-1]:
             break  # too small for any partner there
-        blocks = most_different(high, p, q) + 1
+        need = most_different(high, p, q) + 1
+        needs[band & 1] = need
+        blocks = need + spare(need)
         block = hashes % np.uint64(blocks)
         flips = mixed((hashes >> np.uint64(20)) % np.uint64(BITS) + _A)  # XOR of these is a digest of the block's bits
         order = np.argsort(block, kind="stable")
@@ -113,40 +126,49 @@ def block_keys(hashes: np.ndarray, p: int, q: int) -> np.ndarray:
         bits = np.zeros(blocks, np.uint64)
         bits[block[starts]] = np.bitwise_xor.reduceat(flips, starts)
         where = (np.uint64(band) << np.uint64(40)) + np.arange(blocks, dtype=np.uint64)
-        out.append(mixed(mixed(where + _C) + bits))
-    return np.concatenate(out).view(np.int64)
+        out.append(mixed(mixed(where + _C) + bits) & ~np.uint64(1) | np.uint64(band & 1))
+    return np.concatenate(out).view(np.int64), needs
+
+
+def folded_sketch(hashes: np.ndarray) -> np.ndarray:
+    """The set's parity sketch of ``FOLDED`` bits, as 64-bit numbers."""
+    bits = np.bincount(mixed(hashes + _B) % np.uint64(FOLDED), minlength=FOLDED) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def profiler(n: int, p: int, q: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            sizes, first, second, keys = [], [], [], []
+            sizes, first, second, keys, needs = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingles(text, n, words)
                 digest = xxhash.xxh3_128_digest(h.tobytes())
                 sizes.append(len(h))
                 first.append(int.from_bytes(digest[:8], "big", signed=True))
                 second.append(int.from_bytes(digest[8:], "big", signed=True))
-                keys.append(block_keys(h, p, q))
-            at = np.cumsum([0, *map(len, keys)])
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+                k, need = block_keys(h, p, q)
+                keys.append(k)
+                needs.append(need)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int64()))],
-                ["_id", "_n", "_d1", "_d2", "_keys"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(needs, pa.list_(pa.int32())), _lists(keys)],
+                ["_id", "_n", "_d1", "_d2", "_needs", "_keys"],
             )
 
     return run
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    at = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(arrays) if arrays else [], pa.int64()))
+
+
 def set_maker(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            sets = [shingles(t, n, words).view(np.int64) for t in batch.column(1).to_pylist()]
-            at = np.cumsum([0, *map(len, sets)])
-            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int64()))], ["_id", "_set"])
+            sets = [shingles(t, n, words) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([s.view(np.int64) for s in sets]), _lists(list(map(folded_sketch, sets)))], ["_id", "_set", "_bits"])
 
     return run
 
@@ -167,21 +189,30 @@ def jaccard_classes(df: DataFrame, words: int, p: int, q: int, id_col: str = "do
     pairs with Jaccard similarity ``p / q`` or more of their ``words``-word shingles."""
     kind = df.schema[id_col].dataType.simpleString()
     texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    profile = written(texts.mapInArrow(profiler(words, p, q), f"_id {kind}, _n long, _d1 long, _d2 long, _keys array<long>"), "parity-profile")
+    profile = written(texts.mapInArrow(profiler(words, p, q), f"_id {kind}, _n long, _d1 long, _d2 long, _needs array<int>, _keys array<long>"), "parity-profile")
     digest = ["_d1", "_d2"]
     present = profile.where("_n > 0 AND _id IS NOT NULL")
     classes = cut(present.groupBy(*digest).agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
 
     # One set stands for all that are identical.
     reps = present.join(classes.select(F.col("rep").alias("_id"), *digest), ["_id", *digest], "left_semi")
-    keyed = reps.select("_id", "_n", F.explode("_keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("_id").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    members = written(keyed.join(shared, "key").distinct(), "parity-members")
+    keyed = reps.select("_id", F.explode("_keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    listed = written(keyed.join(shared, "key").distinct(), "parity-shared")  # the other keys are the rarest, and meet nobody
+
+    # Of each set's keys in a band the D + 1 rarest.
+    band = F.col("key").bitwiseAND(F.lit(1))
+    ranked = listed.join(profile.select("_id", "_n", "_needs").distinct(), "_id").withColumn("need", F.get("_needs", band.cast("int")))
+    own = Window.partitionBy("_id", band)
+    ranked = ranked.withColumn("alone", F.col("need") + F.floor(F.col("need") / 2) - F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("m", "key")))
+    rare = cut(ranked.where("rank <= need - alone").select("key", "_id", "_n"))
+    hubs = rare.groupBy("key").agg(F.min("_id").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    members = cut(rare.join(hubs, "key"))
 
     # The sets of those that share a bucket, from the whole texts again.
     wanted = members.select("_id").distinct()
     chosen = texts.join(wanted, "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text"))
-    sets = written(chosen.mapInArrow(set_maker(words), f"_id {kind}, _set array<long>"), "parity-sets")
+    sets = written(chosen.mapInArrow(set_maker(words), f"_id {kind}, _set array<long>, _bits array<long>"), "parity-sets")
 
     # Every member against its bucket's hub.
     stars = cut(verified(members.where("_id <> hub").select(F.col("_id").alias("a"), F.col("hub").alias("b")).distinct(), sets))
@@ -200,10 +231,13 @@ def jaccard_classes(df: DataFrame, words: int, p: int, q: int, id_col: str = "do
         .drop("hub")
     )
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_rows = cut(placed.join(open_keys, "key", "left_semi").withColumn("bin", F.floor(F.col("far") / (limit * 1.001 + 1e-9)).cast("int")))
-    left = open_rows.select("key", F.col("_id").alias("a"), F.col("_n").alias("na"), F.col("component").alias("ca"), F.col("far").alias("fa"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
-    right = open_rows.select("key", F.col("_id").alias("b"), F.col("_n").alias("nb"), F.col("component").alias("cb"), F.col("far").alias("fb"), "bin")
+    bits = sets.select("_id", "_bits")
+    open_rows = cut(placed.join(open_keys, "key", "left_semi").join(bits, "_id").withColumn("bin", F.floor(F.col("far") / (limit * 1.001 + 1e-9)).cast("int")))
+    left = open_rows.select("key", F.col("_id").alias("a"), F.col("_n").alias("na"), F.col("component").alias("ca"), F.col("far").alias("fa"), F.col("_bits").alias("ba"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    right = open_rows.select("key", F.col("_id").alias("b"), F.col("_n").alias("nb"), F.col("component").alias("cb"), F.col("far").alias("fb"), F.col("_bits").alias("bb"), "bin")
     within = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.abs(F.col("fa") - F.col("fb")) <= limit + 1e-9) & (F.least("na", "nb") * q >= F.greatest("na", "nb") * p)
+    differ = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    within = within & (differ * (q + p) <= (F.col("na") + F.col("nb")) * (q - p))
     rest = left.join(right, ["key", "bin"]).where(within).select("a", "b").distinct()
     more = cut(verified(rest, sets).where(similar(p, q)).select("a", "b"))
     if not more.isEmpty():
