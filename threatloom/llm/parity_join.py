@@ -12,7 +12,8 @@ distance of two sketches is at most the symmetric difference of the sets.
    are equal, so the two share one among the ``D + 1`` rarest of either.  The join
    key is a digest of (band, block, bits of the block); by its rarest keys a set
    meets few others, even if most of its blocks are those of a large group.
-3. Identical sets are merged first, so copies are never paired.
+3. Identical sets are merged first, so copies are never paired.  Keys are
+   worked off in ``ROUNDS`` parts, so shuffle files take a part of their space.
 4. In every bucket (sets with the same key) all are verified against one hub.
    Most links of a group of near copies then exist already; components are
    built, and only pairs from different components of one bucket are verified
@@ -49,6 +50,8 @@ BITS = 4096
 FOLDED = 2048
 #: Width of a size band.
 WIDTH = 1.35
+#: Parts that the keys are worked off in.
+ROUNDS = 4
 #: Words whose hashes a worker remembers; beyond it starts anew.
 REMEMBERED = 1_000_000
 
@@ -99,9 +102,11 @@ def most_different(high: int, p: int, q: int) -> int:
     return 2 * high * (q - p) // (q + p)
 
 
-def spare(need: int) -> int:
-    """``E`` for ``D + 1 = need``."""
-    return need // 2
+def spare(need, p: int, q: int):
+    """``E`` for ``D + 1 = need`` (a number or a column): as much as leaves each
+    block a few shingles."""
+    part = 2 if 10 * p >= 9 * q else 4
+    return F.floor(need / part) if isinstance(need, Column) else need // part
 
 
 def block_keys(hashes: np.ndarray, p: int, q: int) -> tuple[np.ndarray, list[int]]:
@@ -117,7 +122,7 @@ def block_keys(hashes: np.ndarray, p: int, q: int) -> tuple[np.ndarray, list[int
             break  # too small for any partner there
         need = most_different(high, p, q) + 1
         needs[band & 1] = need
-        blocks = need + spare(need)
+        blocks = need + spare(need, p, q)
         block = hashes % np.uint64(blocks)
         flips = mixed((hashes >> np.uint64(20)) % np.uint64(BITS) + _A)  # XOR of these is a digest of the block's bits
         order = np.argsort(block, kind="stable")
@@ -136,24 +141,37 @@ def folded_sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def profiler(n: int, p: int, q: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def profiler(n: int) -> Batches:
+    """Size and 128-bit digest of each text's set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            sizes, first, second, keys, needs = [], [], [], [], []
+            sizes, first, second = [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingles(text, n, words)
                 digest = xxhash.xxh3_128_digest(h.tobytes())
                 sizes.append(len(h))
                 first.append(int.from_bytes(digest[:8], "big", signed=True))
                 second.append(int.from_bytes(digest[8:], "big", signed=True))
-                k, need = block_keys(h, p, q)
-                keys.append(k)
-                needs.append(need)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(needs, pa.list_(pa.int32())), _lists(keys)],
-                ["_id", "_n", "_d1", "_d2", "_needs", "_keys"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["_id", "_n", "_d1", "_d2"])
+
+    return run
+
+
+def keyer(n: int, p: int, q: int) -> Batches:
+    """Join keys of each text's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            sets = [shingles(t, n, words) for t in batch.column(1).to_pylist()]
+            keys = [block_keys(h, p, q) for h in sets]
+            sizes, needs = pa.array(list(map(len, sets)), pa.int64()), pa.array([need for _, need in keys], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, needs, _lists([k for k, _ in keys])], ["_id", "_n", "_needs", "_keys"])
 
     return run
 
@@ -163,7 +181,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(arrays) if arrays else [], pa.int64()))
 
 
-def set_maker(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def set_maker(n: int) -> Batches:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
@@ -189,29 +207,36 @@ def jaccard_classes(df: DataFrame, words: int, p: int, q: int, id_col: str = "do
     pairs with Jaccard similarity ``p / q`` or more of their ``words``-word shingles."""
     kind = df.schema[id_col].dataType.simpleString()
     texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    profile = written(texts.mapInArrow(profiler(words, p, q), f"_id {kind}, _n long, _d1 long, _d2 long, _needs array<int>, _keys array<long>"), "parity-profile")
+    profile = written(texts.mapInArrow(profiler(words), f"_id {kind}, _n long, _d1 long, _d2 long"), "parity-profile")
     digest = ["_d1", "_d2"]
     present = profile.where("_n > 0 AND _id IS NOT NULL")
     classes = cut(present.groupBy(*digest).agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
 
+    def text_of(ids: DataFrame) -> DataFrame:
+        return texts.join(ids, "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text"))
+
     # One set stands for all that are identical.
-    reps = present.join(classes.select(F.col("rep").alias("_id"), *digest), ["_id", *digest], "left_semi")
-    keyed = reps.select("_id", F.explode("_keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    listed = written(keyed.join(shared, "key").distinct(), "parity-shared")  # the other keys are the rarest, and meet nobody
+    reps = text_of(classes.select(F.col("rep").alias("_id")))
+    keys = written(reps.mapInArrow(keyer(words, p, q), f"_id {kind}, _n long, _needs array<int>, _keys array<long>"), "parity-keys")
+    keyed = keys.select("_id", F.explode("_keys").alias("key"))
+    listed = None  # the other keys are the rarest, and meet nobody
+    for k in range(ROUNDS):
+        some = keyed.where(F.pmod(F.shiftright("key", 1), F.lit(ROUNDS)) == k)
+        shared = some.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        part = written(some.join(shared, "key"), "parity-shared")
+        listed = part if listed is None else listed.unionByName(part)
 
     # Of each set's keys in a band the D + 1 rarest.
     band = F.col("key").bitwiseAND(F.lit(1))
-    ranked = listed.join(profile.select("_id", "_n", "_needs").distinct(), "_id").withColumn("need", F.get("_needs", band.cast("int")))
+    ranked = listed.join(keys.select("_id", "_n", "_needs"), "_id").withColumn("need", F.get("_needs", band.cast("int")))
     own = Window.partitionBy("_id", band)
-    ranked = ranked.withColumn("alone", F.col("need") + F.floor(F.col("need") / 2) - F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("m", "key")))
+    ranked = ranked.withColumn("alone", F.col("need") + spare(F.col("need"), p, q) - F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("m", "key")))
     rare = cut(ranked.where("rank <= need - alone").select("key", "_id", "_n"))
     hubs = rare.groupBy("key").agg(F.min("_id").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     members = cut(rare.join(hubs, "key"))
 
     # The sets of those that share a bucket, from the whole texts again.
-    wanted = members.select("_id").distinct()
-    chosen = texts.join(wanted, "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text"))
+    chosen = text_of(members.select("_id").distinct())
     sets = written(chosen.mapInArrow(set_maker(words), f"_id {kind}, _set array<long>, _bits array<long>"), "parity-sets")
 
     # Every member against its bucket's hub.

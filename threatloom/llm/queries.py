@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatloom.llm import bpe, exact_dedup, html_extract, language_id, mixing, parity_join, quality_rules, secrets, token_counts
+from threatloom.llm import bpe, exact_dedup, html_extract, language_id, mixing, parity_join, personal_data, quality_rules, secrets, token_counts
 from threatloom.llm.common import documents, shared_dir
 
 #: The tokenizer of the queries, and its id that ends documents in token files.
@@ -24,6 +24,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digest(documents(spark, sf_dir))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.jaccard_classes(documents(spark, sf_dir), parity_join.SHINGLE_WORDS, *parity_join.AT_LEAST)
 
@@ -58,6 +62,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_personal_data": op3_personal_data,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_token_counts": op5_token_counts,
     "op6_quality_rules": op6_quality_rules,
