@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatloom.llm.common import strings
+from threatloom.llm.common import slices, strings
 
 #: Largest tokenizer file that is broadcast.
 LARGEST_FILE = 64 << 20
@@ -55,7 +55,7 @@ NEWER = (
 #: don't know yet, and how far off their small letters are.
 CAPITALS = "1C89:1 A7CB:-A567 A7CC:1 A7CE:1 A7D2:1 A7D4:1 A7DA:1 A7DC:-A641 10D50-10D65:20 16EA0-16EB8:1B"
 #: Runs whose ids a worker remembers; beyond it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Longer runs are encoded each time they occur.
 LONGEST_REMEMBERED = 64
 
@@ -275,7 +275,7 @@ def _mapped(df: DataFrame, column: str, field: T.StructField, make) -> DataFrame
     schema = T.StructType([*df.schema.fields, field])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, make(batch.column(at))], names=schema.names)
 
     return df.mapInArrow(run, schema)

@@ -88,6 +88,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def slices(batches, rows: int = 512):
+    """The batches in parts of few rows, so a worker holds few texts at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def strings(column) -> list[str | None]:
     """A batch's strings (an Arrow array); bytes that are not UTF-8 are replaced."""
     try:

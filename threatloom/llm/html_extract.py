@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from threatloom.llm.common import strings
+from threatloom.llm.common import slices, strings
 
 #: Labelled pages that the weights are learned from.
 PAGES = 400
@@ -282,7 +282,7 @@ def main_text(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights()
-        for batch in batches:
+        for batch in slices(batches):
             texts = [extract(x, w) for x in strings(batch.column(len(keep)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*keep, "text", "n_chars"])
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatloom.llm.common import fresh, strings
+from threatloom.llm.common import fresh, slices, strings
 
 #: n-grams in a profile, and of a document that are compared.
 PROFILE = 400
@@ -41,7 +41,7 @@ PER_LANGUAGE = 4000
 #: More languages than this are refused (profiles are broadcast: about 20 bytes an entry).
 MOST_LANGUAGES = 2000
 #: Words whose n-grams a worker remembers; beyond it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: n-grams that a worker numbers; beyond it starts anew.
 MOST_NUMBERED = 200_000
 
@@ -124,7 +124,7 @@ def learn(df: DataFrame, text_col: str, lang_col: str, by: Column, per_language:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, Counter] = {}
         grams = Grams()
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
                 n = grams.counts(text)
                 if n is not None:
@@ -173,7 +173,7 @@ def predict(df: DataFrame, profiles: dict[str, list[int]], text_col: str, pred_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model_here, grams = Profiles(model.value, profile), Grams()
-        for batch in batches:
+        for batch in slices(batches):
             got = [model_here.predict(t, grams) for t in strings(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=names)
 

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threatloom.llm.common import cut, written
+from threatloom.llm.common import cut, slices, written
 from threatloom.llm.components import components
 
 #: Bits of each block of the sketch.
@@ -53,7 +53,7 @@ WIDTH = 1.35
 #: Parts that the keys are worked off in.
 ROUNDS = 4
 #: Words whose hashes a worker remembers; beyond it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -149,7 +149,7 @@ def profiler(n: int) -> Batches:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for batch in batches:
+        for batch in slices(batches):
             sizes, first, second = [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingles(text, n, words)
@@ -167,7 +167,7 @@ def keyer(n: int, p: int, q: int) -> Batches:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t, n, words) for t in batch.column(1).to_pylist()]
             keys = [block_keys(h, p, q) for h in sets]
             sizes, needs = pa.array(list(map(len, sets)), pa.int64()), pa.array([need for _, need in keys], pa.list_(pa.int32()))
@@ -184,7 +184,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 def set_maker(n: int) -> Batches:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t, n, words) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists([s.view(np.int64) for s in sets]), _lists(list(map(folded_sketch, sets)))], ["_id", "_set", "_bits"])
 

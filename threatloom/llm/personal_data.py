@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threatloom.llm.common import strings
+from threatloom.llm.common import slices, strings
 
 KINDS = ("email", "ip", "card", "phone", "crf_email", "crf_ip", "crf_card", "crf_phone")
 LABELS = ("O", "email", "ip", "card", "phone")
@@ -347,7 +347,7 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     model = df.sparkSession.sparkContext.broadcast(field())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [[vars(s) for s in scan_text(t, model.value)] for t in strings(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _arrow)], names=[id_col, "found"])
 

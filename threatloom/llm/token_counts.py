@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threatloom.llm.bpe import read_file, tokenizer
-from threatloom.llm.common import strings
+from threatloom.llm.common import slices, strings
 
 #: Tokens in a block.
 BLOCK = 1 << 20
@@ -44,7 +44,7 @@ def write_token_files(df: DataFrame, tokenizer_path: str, separator: int, path:
         t = tokenizer(file.value)
         if max(len(t.offsets) - 2, separator) > 0xFFFF:
             raise ValueError("ids must fit 16 bits")
-        for batch in batches:
+        for batch in slices(batches):
             rows = [np.array(t.encode(x, special=False), "<u2").tobytes() for x in strings(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
 
