@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatloom.llm.common import slices, strings
+from threatloom.llm.common import slices, small_batches, strings
 
 #: Largest tokenizer file that is broadcast.
 LARGEST_FILE = 64 << 20
@@ -55,7 +55,7 @@ NEWER = (
 #: don't know yet, and how far off their small letters are.
 CAPITALS = "1C89:1 A7CB:-A567 A7CC:1 A7CE:1 A7D2:1 A7D4:1 A7DA:1 A7DC:-A641 10D50-10D65:20 16EA0-16EB8:1B"
 #: Runs whose ids a worker remembers; beyond it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Longer runs are encoded each time they occur.
 LONGEST_REMEMBERED = 64
 
@@ -268,46 +268,54 @@ def read_file(path: str) -> bytes:
     return data
 
 
-def _mapped(df: DataFrame, column: str, field: T.StructField, make) -> DataFrame:
-    """``df`` with ``field`` made from ``column`` batch by batch; all other
+def _mapped(df: DataFrame, column: str, fields: list[T.StructField], make) -> DataFrame:
+    """``df`` with ``fields`` made from ``column`` batch by batch; all other
     columns pass through by position, so their names don't matter."""
     at = df.columns.index(column)
-    schema = T.StructType([*df.schema.fields, field])
+    schema = T.StructType([*df.schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns, make(batch.column(at))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch.column(at))], names=schema.names)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``df`` with the ids of each whole text."""
+def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """``df`` with the ids of each whole text, and if ``decoded_col`` is named also
+    with the text that these ids decode to, in the same pass."""
     file = df.sparkSession.sparkContext.broadcast(read_file(path))
 
-    def make(texts: pa.Array) -> pa.Array:
+    def make(texts: pa.Array) -> list[pa.Array]:
         t = tokenizer(file.value)
         ids = [np.array(t.encode(x), np.int32) for x in strings(texts)]
         at = np.cumsum([0, *map(len, ids)])
-        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
+        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
+        return [lists, *([_decoded(t, ids)] if decoded_col else [])]
 
-    return _mapped(df, text_col, T.StructField(ids_col, T.ArrayType(T.IntegerType())), make)
+    fields = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded_col, T.StringType())] if decoded_col else [])
+    return _mapped(df, text_col, fields, make)
+
+
+def _decoded(t: Tokenizer, ids: list[np.ndarray]) -> pa.Array:
+    return pa.array([t.decode(x.astype(np.int64)) for x in ids], pa.binary()).cast(pa.string())
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``df`` with the text that each row's ids stand for."""
     file = df.sparkSession.sparkContext.broadcast(read_file(path))
+    none = np.empty(0, np.int32)
 
-    def make(lists: pa.Array) -> pa.Array:
-        t = tokenizer(file.value)
-        return pa.array([t.decode(x.values.to_numpy(zero_copy_only=False).astype(np.int64)) if x.is_valid else b"" for x in lists], pa.binary()).cast(pa.string())
+    def make(lists: pa.Array) -> list[pa.Array]:
+        return [_decoded(tokenizer(file.value), [x.values.to_numpy(zero_copy_only=False) if x.is_valid else none for x in lists])]
 
-    return _mapped(df, ids_col, T.StructField(out_col, T.StringType()), make)
+    return _mapped(df, ids_col, [T.StructField(out_col, T.StringType())], make)
 
 
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id_col>, n_tokens, ids_sha256, decoded_sha256`` for each row."""
-    coded = decode(encode(df.select(id_col, text_col), path, text_col, "_ids").drop(text_col), path, "_ids", "_decoded")
+    coded = encode(df.select(id_col, text_col), path, text_col, "_ids", "_decoded").drop(text_col)
     return coded.select(
         id_col,
         F.size("_ids").cast("long").alias("n_tokens"),

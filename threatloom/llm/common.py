@@ -88,6 +88,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows of a batch that goes to a Python worker.  Texts can be long, and both
+#: sides hold a few batches.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's batch size to ``BATCH_ROWS``; a lower one stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def slices(batches, rows: int = 512):
     """The batches in parts of few rows, so a worker holds few texts at once."""
     for batch in batches:

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from threatloom.llm.common import slices, strings
+from threatloom.llm.common import slices, small_batches, strings
 
 #: Labelled pages that the weights are learned from.
 PAGES = 400
@@ -286,4 +286,5 @@ def main_text(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("p
             texts = [extract(x, w) for x in strings(batch.column(len(keep)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*keep, "text", "n_chars"])
 
+    small_batches(df.sparkSession)
     return rows.mapInArrow(run, f"{fields}, text string, n_chars long")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threatloom.llm.common import slices, strings
+from threatloom.llm.common import slices, small_batches, strings
 
 KINDS = ("email", "ip", "card", "phone", "crf_email", "crf_ip", "crf_card", "crf_phone")
 LABELS = ("O", "email", "ip", "card", "phone")
@@ -351,6 +351,7 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             found = [[vars(s) for s in scan_text(t, model.value)] for t in strings(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _arrow)], names=[id_col, "found"])
 
+    small_batches(df.sparkSession)
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, found {SPANS}")
 
 

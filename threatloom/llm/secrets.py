@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threatloom.llm.common import slices, strings
+from threatloom.llm.common import slices, small_batches, strings
 
 #: Shortest run that is tested, rate of false discoveries.
 SHORTEST, RATE = 20, 0.002
@@ -214,6 +214,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             found = [[vars(s) for s in scan_text(t)] for t in strings(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _arrow)], names=[id_col, "found"])
 
+    small_batches(df.sparkSession)
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, found {SPANS}")
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threatloom.llm.bpe import read_file, tokenizer
-from threatloom.llm.common import slices, strings
+from threatloom.llm.common import slices, small_batches, strings
 
 #: Tokens in a block.
 BLOCK = 1 << 20
@@ -49,6 +49,7 @@ def write_token_files(df: DataFrame, tokenizer_path: str, separator: int, path:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
 
     ends = separator.to_bytes(2, "little").decode("latin-1")
+    small_batches(df.sparkSession)
     rows = df.select(text_col).mapInArrow(run, "ids binary").select(F.col("ids").cast("string"))
     rows.write.option("lineSep", ends).option("encoding", "ISO-8859-1").text(path)
 
