@@ -32,7 +32,7 @@ class EscalationProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = T.StructType([T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("cumulative", T.DoubleType()), T.StructField("seen", T.DoubleType()), T.StructField("transitions", T.IntegerType())])
-        self.kept = handle.getValueState("escalation", schema, ttlDurationMs=86_400_000)
+        self.kept = handle.getValueState("escalation", schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         state = Escalation()
