@@ -66,6 +66,18 @@ BY_HINT = {
 PAIRS = {("site", "header"): "header", ("page", "header"): "header", ("top", "bar"): "header", ("side", "bar"): "sidebar", ("sign", "up"): "form"}
 
 
+#: Beginnings of longer words that are read as hints too.
+STEMS = {"comment": "comments", "advert": "advert", "sponsor": "advert", "sidebar": "sidebar", "cookie": "notice", "newsletter": "notice", "breadcrumb": "menu", "navbar": "menu", "navigation": "menu", "footer": "footer"}
+
+
+def hint_of(word: str, in_main: bool) -> str | None:
+    if word in BY_HINT:
+        return BY_HINT[word]
+    if word == "header" and not in_main:
+        return "header"
+    return None if word.startswith("commentar") else next((place for stem, place in STEMS.items() if word.startswith(stem)), None)
+
+
 def place_of(name: str, attributes: str, in_main: bool) -> str | None:
     """The kind of place that an element opens, or None if it says nothing."""
     found = None
@@ -80,8 +92,10 @@ def place_of(name: str, attributes: str, in_main: bool) -> str | None:
             if value.lower() == "true":
                 return "hidden"
         elif key != "type":
+            if key == "role" and value.lower() in ("main", "article"):
+                return "main"
             words = [w.lower() for w in _parts.findall(value)]
-            found = found or next((PAIRS[p] for p in zip(words, words[1:], strict=False) if p in PAIRS), None) or next((BY_HINT[w] for w in words if w in BY_HINT), None)
+            found = found or next((PAIRS[p] for p in zip(words, words[1:], strict=False) if p in PAIRS), None) or next((h for w in words if (h := hint_of(w, in_main))), None)
     if found and name not in ("html", "body", "main"):
         return found
     if name in ("article", "main"):
