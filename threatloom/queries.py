@@ -6,18 +6,22 @@ and a handful of literal rows with negative ids; the SQL has the same rows.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatloom.functions import features
 from threatloom.functions.columns import safe_text
+from threatloom.functions.regex import Pattern
 from threatloom.operators import audit, code, definitions, detection, images, memory, models, outputs, prompts, reasoning, requests, sessions, tools, transactions
 from threatloom.operators.detection import quoted, sql_first, sql_list
 from threatloom.plans import facade
 from threatloom.sources import catalog
+from threatloom.sources.tables import table
 from threatloom.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,7 +51,7 @@ LITERALS = [
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.unionByName(spark.createDataFrame([(-1 - k, t) for k, t in enumerate(LITERALS)], "doc_id long, text string"))
 
 
@@ -237,7 +241,7 @@ RECENT_SQL = f"WITH {DOCS}, s AS (SELECT doc_id, {sql_list(DOCUMENT)} AS x FROM
 
 def html_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hidden markup in whole pages."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", detection.signatures(F.concat(prompts.hidden_markup(safe_text(F.col("html"))), memory.document_detections(safe_text(F.col("html"))))).alias("signatures"))
 
 
@@ -345,18 +349,16 @@ def catalog_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", detection.signatures(found).alias("signatures"))
 
 
-def _catalog_sql() -> str:
-    import json
-    from pathlib import Path
-
+def _catalog_parts(categories: tuple[str, ...] | None = None) -> list[tuple[str, str]]:
+    """Conditions and ids of the starter catalog's signatures, from its files."""
     parts = []
     for file in sorted(Path(catalog.STARTER).glob("*.json")):
         for s in json.loads(file.read_text()).get("signatures", []):
-            known = catalog.ALIASES.get(s["category"], s["category"]) in catalog.CATEGORIES
-            if known and s.get("enabled", True):
-                hits = [f"regexp_matches(lower(text), {quoted(catalog.Pattern(p, dot_all=True, multi_line=True).re2())})" for p in s["patterns"]]
+            category = catalog.ALIASES.get(s["category"], s["category"])
+            if category in catalog.CATEGORIES and s.get("enabled", True) and (categories is None or category in categories):
+                hits = [f"regexp_matches(lower(text), {quoted(Pattern(p, dot_all=True, multi_line=True).re2())})" for p in s["patterns"]]
                 parts.append(("(" + " OR ".join(hits) + ")", s["id"]))
-    return _signature_sql(parts)
+    return parts
 
 
 def catalog_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -418,7 +420,7 @@ SELECT doc_id, md5('<EXTERNAL_CONTENT source="' || s || '" trust="' || CASE WHEN
 def toxic_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall and false positives of the prompt checks on labelled documents."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     flagged = prompts.check_prompts(docs).select("doc_id", (F.col("threat_count") > 0).alias("flagged")).join(labels, "doc_id")
     return audit.confusion(flagged.withColumn("bad", 1 - F.col("quality")), "bad", "flagged")
 
@@ -451,6 +453,15 @@ def facade_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "verdict", "layer", F.col("threat_count").cast("long").alias("threat_count"))
 
 
+FACADE = PROMPT + _catalog_parts(("prompt_injection", "indirect_injection"))
+FACADE_SQL = f"""
+WITH {DOCS}, f AS (SELECT doc_id, list_filter(string_split({sql_list(FACADE)}, ','), lambda x: x <> '') AS s FROM docs),
+l AS (SELECT doc_id, len(s) AS n, CASE WHEN {_any([*RANKS['critical'], 'SC-001'])} THEN 'block'
+  WHEN len(list_filter(s, lambda x: NOT list_contains([{', '.join(map(quoted, RANKS['medium'] + RANKS['low']))}], x))) > 0 THEN 'quarantine' ELSE 'allow' END AS verdict FROM f)
+SELECT doc_id, verdict, CASE WHEN verdict = 'allow' THEN 'facade' ELSE 'prompt_armor' END AS layer, CASE WHEN verdict = 'allow' THEN 0 ELSE n END AS threat_count FROM l
+"""
+
+
 def facade_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = facade.check_outputs(_documents(spark, sf_dir), catalog.load(spark))
     return out.select("doc_id", "verdict", "layer", F.col("threat_count").cast("long").alias("threat_count"))
@@ -567,7 +578,8 @@ ORACLE_SQL: dict[str, str] = {
     "definition_scan": DEFINITION_SQL,
     "name_confusion": CONFUSION_SQL,
     "image_check": IMAGE_SQL,
-    "catalog_check": _catalog_sql(),
+    "catalog_check": _signature_sql(_catalog_parts()),
+    "facade_prompts": FACADE_SQL,
     "ml_features": FEATURE_SQL,
     "toxic_confusion": TOXIC_SQL,
     "spotlight": SPOTLIGHT_SQL,
