@@ -9,6 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threatloom.sources.tables import table
+
 #: ASCII white space that separates words: space and \t \n \v \f \r.
 WORD_RX = "[^\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -85,7 +87,7 @@ def fresh(taken: list[str], *names: str) -> list[str]:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 #: Rows of a batch that goes to a Python worker.  Texts can be long, and both

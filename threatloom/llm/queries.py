@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from threatloom.llm import bpe, exact_dedup, html_extract, language_id, mixing, parity_join, personal_data, quality_rules, secrets, token_counts
 from threatloom.llm.common import documents, shared_dir
+from threatloom.sources.tables import table
 
 #: The tokenizer of the queries, and its id that ends documents in token files.
 TOKENIZER, END_OF_TEXT = "word_bpe_49k.json", 49407
@@ -35,7 +36,8 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, from token files written in the shared folder."""
     where = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    return token_counts.document_counts(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), END_OF_TEXT, where)
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")  # in the order of the files
+    return token_counts.document_counts(rows, public_tokenizers.path(TOKENIZER), END_OF_TEXT, where)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
