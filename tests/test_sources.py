@@ -54,6 +54,14 @@ def test_model_and_cascade(spark):
     df = spark.createDataFrame(rows, "text string, label int")
     scored = models.scored(df, models.train(df, features=1 << 10))
     assert audit.confusion(scored.withColumn("f", F.col("score") >= 0.5), "label", "f").first()["recall"] == 1.0
+    model = models.train(df, features=1 << 10)
+    assert models.canaries_hold(model, df.limit(4)) and not models.canaries_hold(model, df.limit(4).withColumn("label", 1 - F.col("label")))
+    assert 0 < models.distilled(scored, threshold=0.5, most=7).count() <= 7
+    best = models.sweep(df, sizes=(1 << 10,), strengths=(0.1, 0.01), folds=2)
+    assert len(best) == 2 and best[0]["f1"] >= best[1]["f1"]
+    d = "array<struct<signature_id:string,category:string,level:string,verdict:string,description:string,evidence:string,layer:string,confidence:double,metadata:map<string,string>>>"
+    unsure = spark.createDataFrame([([("X", "c", "low", "sanitize", "", "", "l", 0.5, None)], "sanitize", True), ([("X", "c", "low", "sanitize", "", "", "l", 0.9, None)], "sanitize", True), ([], "allow", None)], f"detections {d}, verdict string, says boolean")
+    assert [r["verdict"] for r in models.judged(unsure, F.col("says")).collect()] == ["block", "sanitize", "allow"]
     tiers = spark.createDataFrame([("ab", 0.99, 0.99), ("abc", 0.95, 0.0), ("abc", 0.75, 0.0), ("abc", 0.2, 0.99), ("abc", 0.5, 0.8), ("abc", 0.5, 0.3)], "t string, a double, b double")
     got = [[(d["signature_id"], d["level"]) for d in r[0]] for r in tiers.select(models.cascade(F.col("t"), F.col("a"), F.col("b"))).collect()]
     assert got == [[], [("ML-TFIDF", "critical")], [("ML-TFIDF", "high")], [], [("ML-ONNX", "high")], []]
