@@ -25,7 +25,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 from pathlib import Path
@@ -37,6 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers.normalizers import NFC
 
 from threatloom.llm.common import slices, small_batches, strings
 
@@ -55,11 +55,15 @@ NEWER = (
 #: don't know yet, and how far off their small letters are.
 CAPITALS = "1C89:1 A7CB:-A567 A7CC:1 A7CE:1 A7D2:1 A7D4:1 A7DA:1 A7DC:-A641 10D50-10D65:20 16EA0-16EB8:1B"
 #: Runs whose ids a worker remembers; beyond it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Longer runs are encoded each time they occur.
 LONGEST_REMEMBERED = 64
 
 
+#: Composed form by the library's own tables, which are older than Python's.
+_composed = NFC().normalize_str
+
+
 def byte_symbols() -> list[str]:
     """The printable character for each byte in byte-level vocabularies:
     printable Latin-1 stands for itself, the others follow from U+0100 on."""
@@ -219,7 +223,7 @@ class Tokenizer(dict):
         if text.isascii():
             text = text.lower()
         else:  # each character by itself: no special form of a final sigma
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            text = _composed(text).replace("Σ", "σ").lower()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split() only
             return self.spaced(text)
         return text.split()
