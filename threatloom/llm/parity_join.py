@@ -14,12 +14,13 @@ distance of two sketches is at most the symmetric difference of the sets.
    meets few others, even if most of its blocks are those of a large group.
 3. Identical sets are merged first, so copies are never paired.  Keys are
    worked off in ``ROUNDS`` parts, so shuffle files take a part of their space.
-4. In every bucket (sets with the same key) all are verified against one hub.
+4. In every bucket (sets with the same key) all are compared with one hub:
+   folded sketches first, and where these allow a link the sets themselves.
    Most links of a group of near copies then exist already; components are
    built, and only pairs from different components of one bucket are verified
-   in addition.  Passed over without being emitted are pairs whose distances to
-   the hub differ by more than the limit (``1 - Jaccard`` is a metric), and those
-   whose folded sketches differ in more bits than linked sets can.
+   in addition.  Passed over without being emitted are pairs whose sketches differ
+   in more bits than those of linked sets can, directly or by the difference of
+   their distances to the hub (the Hamming distance is a metric).
 
 No bucket is capped and no link between different texts is lost.
 
@@ -41,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threatloom.llm.common import cut, slices, written
+from threatloom.llm.common import cut, removed, slices, small_batches, written
 from threatloom.llm.components import components
 
 #: Bits of each block of the sketch.
@@ -163,7 +164,7 @@ def profiler(n: int) -> Batches:
 
 
 def keyer(n: int, p: int, q: int) -> Batches:
-    """Join keys of each text's set."""
+    """Size, folded sketch and join keys of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -171,7 +172,7 @@ def keyer(n: int, p: int, q: int) -> Batches:
             sets = [shingles(t, n, words) for t in batch.column(1).to_pylist()]
             keys = [block_keys(h, p, q) for h in sets]
             sizes, needs = pa.array(list(map(len, sets)), pa.int64()), pa.array([need for _, need in keys], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, needs, _lists([k for k, _ in keys])], ["_id", "_n", "_needs", "_keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, needs, _lists(list(map(folded_sketch, sets))), _lists([k for k, _ in keys])], ["_id", "_n", "_needs", "_bits", "_keys"])
 
     return run
 
@@ -186,7 +187,7 @@ def set_maker(n: int) -> Batches:
         words = Words()
         for batch in slices(batches):
             sets = [shingles(t, n, words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([s.view(np.int64) for s in sets]), _lists(list(map(folded_sketch, sets)))], ["_id", "_set", "_bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([s.view(np.int64) for s in sets])], ["_id", "_set"])
 
     return run
 
@@ -198,6 +199,23 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "both", (F.size("sa") + F.size("sb") - F.col("both")).alias("either"))
 
 
+def distance() -> Column:
+    """Hamming distance of the folded sketches ``ba`` and ``bb``."""
+    return F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+
+
+def compared(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """``pairs`` with ``na``, ``nb`` and ``differ``, the distance of their sketches."""
+    joined = pairs.join(bits.select(F.col("_id").alias("b"), F.col("_bits").alias("bb"), F.col("_size").alias("nb")), "b")
+    joined = joined.join(bits.select(F.col("_id").alias("a"), F.col("_bits").alias("ba"), F.col("_size").alias("na")), "a")
+    return joined.select("a", "b", "na", "nb", distance().alias("differ"))
+
+
+def may_link(p: int, q: int) -> Column:
+    """Whether sizes and sketches allow the similarity."""
+    return (F.col("differ") * (q + p) <= (F.col("na") + F.col("nb")) * (q - p)) & (F.least("na", "nb") * q >= F.greatest("na", "nb") * p)
+
+
 def similar(p: int, q: int) -> Column:
     return F.col("both") * q >= F.col("either") * p
 
@@ -207,6 +225,7 @@ def jaccard_classes(df: DataFrame, words: int, p: int, q: int, id_col: str = "do
     pairs with Jaccard similarity ``p / q`` or more of their ``words``-word shingles."""
     kind = df.schema[id_col].dataType.simpleString()
     texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
+    small_batches(df.sparkSession)
     profile = written(texts.mapInArrow(profiler(words), f"_id {kind}, _n long, _d1 long, _d2 long"), "parity-profile")
     digest = ["_d1", "_d2"]
     present = profile.where("_n > 0 AND _id IS NOT NULL")
@@ -217,7 +236,8 @@ def jaccard_classes(df: DataFrame, words: int, p: int, q: int, id_col: str = "do
 
     # One set stands for all that are identical.
     reps = text_of(classes.select(F.col("rep").alias("_id")))
-    keys = written(reps.mapInArrow(keyer(words, p, q), f"_id {kind}, _n long, _needs array<int>, _keys array<long>"), "parity-keys")
+    keys = written(reps.mapInArrow(keyer(words, p, q), f"_id {kind}, _n long, _needs array<int>, _bits array<long>, _keys array<long>"), "parity-keys")
+    sketches = written(keys.drop("_keys"), "parity-sketches")
     keyed = keys.select("_id", F.explode("_keys").alias("key"))
     listed = None  # the other keys are the rarest, and meet nobody
     for k in range(ROUNDS):
@@ -226,45 +246,51 @@ def jaccard_classes(df: DataFrame, words: int, p: int, q: int, id_col: str = "do
         part = written(some.join(shared, "key"), "parity-shared")
         listed = part if listed is None else listed.unionByName(part)
 
+    removed(keys)  # the largest table
+
     # Of each set's keys in a band the D + 1 rarest.
     band = F.col("key").bitwiseAND(F.lit(1))
-    ranked = listed.join(keys.select("_id", "_n", "_needs"), "_id").withColumn("need", F.get("_needs", band.cast("int")))
+    ranked = listed.join(sketches.select("_id", "_n", "_needs"), "_id").withColumn("need", F.get("_needs", band.cast("int")))
     own = Window.partitionBy("_id", band)
     ranked = ranked.withColumn("alone", F.col("need") + spare(F.col("need"), p, q) - F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("m", "key")))
-    rare = cut(ranked.where("rank <= need - alone").select("key", "_id", "_n"))
+    rare = cut(ranked.where("rank <= need - alone").select("key", "_id", "_n", "need"))
     hubs = rare.groupBy("key").agg(F.min("_id").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     members = cut(rare.join(hubs, "key"))
 
-    # The sets of those that share a bucket, from the whole texts again.
-    chosen = text_of(members.select("_id").distinct())
-    sets = written(chosen.mapInArrow(set_maker(words), f"_id {kind}, _set array<long>, _bits array<long>"), "parity-sets")
+    removed(listed)
+
+    # Every member against its bucket's hub: sketches first, then sets, made of
+    # the whole texts again, where these allow a link.
+    bits = sketches.select("_id", "_bits", F.col("_n").alias("_size"))
+    stars = cut(compared(members.where("_id <> hub").select(F.col("_id").alias("a"), F.col("hub").alias("b")).distinct(), bits))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
+        sets = written(text_of(ends).mapInArrow(set_maker(words), f"_id {kind}, _set array<long>"), "parity-sets")
+        out = cut(verified(pairs, sets).where(similar(p, q)).select("a", "b"))
+        removed(sets)
+        return out
 
-    # Every member against its bucket's hub.
-    stars = cut(verified(members.where("_id <> hub").select(F.col("_id").alias("a"), F.col("hub").alias("b")).distinct(), sets))
-    links = stars.where(similar(p, q)).select("a", "b")
+    links = linked(stars.where(may_link(p, q)).select("a", "b"))
     found = components(links)
 
     # Pairs in one bucket whose components differ still.
-    far = F.lit(1.0) - F.col("both") / F.col("either")
-    limit = (q - p) / q
     label = found.select(F.col("node").alias("_id"), "component")
     placed = (
         members.where("_id <> hub")
         .join(label, "_id", "left")
         .withColumn("component", F.coalesce("component", "_id"))
-        .join(stars.select(F.col("a").alias("_id"), F.col("b").alias("hub"), far.alias("far")), ["_id", "hub"])
-        .drop("hub")
+        .join(stars.select(F.col("a").alias("_id"), F.col("b").alias("hub"), "differ"), ["_id", "hub"])
+        .withColumn("bin", F.floor(F.col("differ") / F.col("need")).cast("int"))
+        .select("key", "_id", "_n", "need", "component", "differ", "bin")
     )
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    bits = sets.select("_id", "_bits")
-    open_rows = cut(placed.join(open_keys, "key", "left_semi").join(bits, "_id").withColumn("bin", F.floor(F.col("far") / (limit * 1.001 + 1e-9)).cast("int")))
-    left = open_rows.select("key", F.col("_id").alias("a"), F.col("_n").alias("na"), F.col("component").alias("ca"), F.col("far").alias("fa"), F.col("_bits").alias("ba"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
-    right = open_rows.select("key", F.col("_id").alias("b"), F.col("_n").alias("nb"), F.col("component").alias("cb"), F.col("far").alias("fb"), F.col("_bits").alias("bb"), "bin")
-    within = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.abs(F.col("fa") - F.col("fb")) <= limit + 1e-9) & (F.least("na", "nb") * q >= F.greatest("na", "nb") * p)
-    differ = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    within = within & (differ * (q + p) <= (F.col("na") + F.col("nb")) * (q - p))
-    rest = left.join(right, ["key", "bin"]).where(within).select("a", "b").distinct()
-    more = cut(verified(rest, sets).where(similar(p, q)).select("a", "b"))
+    open_rows = cut(placed.join(open_keys, "key", "left_semi").join(bits.drop("_size"), "_id"))
+    left = open_rows.select("key", F.col("_id").alias("a"), F.col("_n").alias("na"), F.col("component").alias("ca"), F.col("differ").alias("ha"), F.col("_bits").alias("ba"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    right = open_rows.select("key", F.col("_id").alias("b"), F.col("_n").alias("nb"), F.col("component").alias("cb"), F.col("differ").alias("hb"), F.col("_bits").alias("bb"), "bin")
+    within = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.abs(F.col("ha") - F.col("hb")) * (q + p) <= (F.col("na") + F.col("nb")) * (q - p)) & (F.least("na", "nb") * q >= F.greatest("na", "nb") * p)
+    rest = left.join(right, ["key", "bin"]).where(within & (distance() * (q + p) <= (F.col("na") + F.col("nb")) * (q - p))).select("a", "b").distinct()
+    more = linked(cut(rest))
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
