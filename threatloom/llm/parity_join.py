@@ -286,10 +286,14 @@ def jaccard_classes(df: DataFrame, words: int, p: int, q: int, id_col: str = "do
     )
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     open_rows = cut(placed.join(open_keys, "key", "left_semi").join(bits.drop("_size"), "_id"))
-    left = open_rows.select("key", F.col("_id").alias("a"), F.col("_n").alias("na"), F.col("component").alias("ca"), F.col("differ").alias("ha"), F.col("_bits").alias("ba"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
-    right = open_rows.select("key", F.col("_id").alias("b"), F.col("_n").alias("nb"), F.col("component").alias("cb"), F.col("differ").alias("hb"), F.col("_bits").alias("bb"), "bin")
+    own_keys = open_rows.groupBy("_id").agg(F.sort_array(F.collect_list("key")).alias("_own"))  # at most D + 1 in either band
+    open_rows = cut(open_rows.join(own_keys, "_id"))
+    left = open_rows.select("key", F.col("_id").alias("a"), F.col("_n").alias("na"), F.col("component").alias("ca"), F.col("differ").alias("ha"), F.col("_bits").alias("ba"), F.col("_own").alias("ka"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    right = open_rows.select("key", F.col("_id").alias("b"), F.col("_n").alias("nb"), F.col("component").alias("cb"), F.col("differ").alias("hb"), F.col("_bits").alias("bb"), F.col("_own").alias("kb"), "bin")
     within = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.abs(F.col("ha") - F.col("hb")) * (q + p) <= (F.col("na") + F.col("nb")) * (q - p)) & (F.least("na", "nb") * q >= F.greatest("na", "nb") * p)
-    rest = left.join(right, ["key", "bin"]).where(within & (distance() * (q + p) <= (F.col("na") + F.col("nb")) * (q - p))).select("a", "b").distinct()
+    close = distance() * (q + p) <= (F.col("na") + F.col("nb")) * (q - p)
+    first = F.col("key") == F.array_min(F.array_intersect("ka", "kb"))  # a pair comes from the first bucket it shares only
+    rest = left.join(right, ["key", "bin"]).where(within & close & first).select("a", "b").distinct()
     more = linked(cut(rest))
     if not more.isEmpty():
         found = components(links.unionByName(more))
