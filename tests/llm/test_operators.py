@@ -260,6 +260,18 @@ def test_html(spark):
     assert htmllib.unescape("&amp;") == "&"
 
 
+def test_html_asides():
+    w = html_extract.weights()
+    body = "<p>one two three</p>{}<p>four five six</p>"
+    for inside in ('<svg class="i"/>', '<svg><path d="M0"/><text>no</text><title/></svg>', "<button>", "<object data=x>", "<select><option>", "<canvas>", "<svg><g>", "<noscript>", "<template>", '<iframe src="x"/>', "<!-->", "<title-bar></title-bar>", "<button>no <b>no</b></button>", "<object><p>no</p></object>", "<svg>" + "<g><text>no</text></g>" * 200 + "</svg>"):
+        for shell in ("<article>{}</article>", "<main><div>{}</div></main><footer><button>Go</button><svg></svg></footer>"):
+            got = html_extract.extract("<body><nav><a>m</a></nav>" + shell.format(body.format(inside)), w)
+            assert got == "one two three four five six", (inside, got)
+    formula = "<math><mrow><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow><annotation>no</annotation></math>"
+    assert html_extract.extract(f"<article><p>so {formula}, as said</p></article>", w) == "so E=mc2, as said"
+    assert html_extract.extract("<article><p>one two</p><script>no</article>", w) == "one two"
+
+
 def test_language_id(spark):
     english = "the of and to in that was for with this from have not are but they which"
     german = "der die und das nicht mit ein ist von auch sich werden über für können schließlich"

@@ -6,10 +6,12 @@ negative, with weights learned as log odds from labelled pages
 a word's weight depends on where it stands (inside an article, in a menu, an
 advert, a form, ...).  One linear scan finds the contiguous region with the
 greatest sum.  Words inside it whose place is more likely boilerplate than
-content (an advert or a comment inside the article) are left out.
+content (an advert or a comment inside the article) are left out, and so is what controls,
+drawings and replacements hold (``ASIDE``); formulas are text like that around them.
 
 Defined cases: null and empty html, and pages without content, give an empty
-text; unclosed and stray tags are tolerated; html is read whole, however long;
+text; unclosed and stray tags are tolerated (only comments and raw text, such as
+scripts, reach to the end of the page if they are not closed); html is read whole, however long;
 repeated rows give repeated results; an empty table gives an empty result; other
 columns are not read.
 """
@@ -33,7 +35,7 @@ from threatloom.llm.common import slices, small_batches, strings
 PAGES = 400
 
 _token = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|select|button|object|canvas|math|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|iframe|textarea|title)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:(?<=/)>|>.*?(?:</\1(?=[\s/>])[^>]*>|\Z))"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -42,7 +44,11 @@ _parts = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text joins that around it; all others end a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements whose content is no text of the page; those that are never closed hold nothing.
+ASIDE = frozenset("script style iframe textarea title noscript template svg select button object canvas annotation annotation-xml".split())
+#: Markup inside a formula, which neither ends blocks nor counts.
+FORMULA = frozenset("annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 #: What an element's name says about the place of its text.
 BY_TAG = {"nav": "menu", "menu": "menu", "footer": "footer", "aside": "sidebar", "form": "form", "dialog": "notice", "head": "head", "fieldset": "form"}
 #: What words in class, id or role say.
@@ -117,14 +123,21 @@ class Run:
 def read(page: str) -> tuple[list[Run | str], bool]:
     """The page as runs of text and names of tags, and whether it has a main element."""
     out: list[Run | str] = []
-    stack: list[tuple[str, str | None, bool]] = []  # name, place, in main
+    stack: list[tuple[str, str | None, bool, int]] = []  # name, place, in main, aside
+    asides: list[int] = [0]  # the aside around each; number 0 is the page
+    inside: list[int] = []  # aside of each item of ``out``
+    closed: set[int] = set()
     place: str | None = None
     main = links = has_main = False
-    at, block = 0, 0
+    at, block, aside, formulas = 0, 0, 0, 0
+
+    def add(item: Run | str) -> None:
+        out.append(item)
+        inside.append(aside)
 
     def text(upto: int) -> None:
         if upto > at and (s := page[at:upto]):
-            out.append(Run(s, (place or ("main" if main else "plain"), links), block))
+            add(Run(s, (place or ("main" if main else "plain"), links), block))
 
     for m in _token.finditer(page):
         text(m.start())
@@ -133,31 +146,44 @@ def read(page: str) -> tuple[list[Run | str], bool]:
         if not name:  # comment, doctype, or an element that is no text at all
             if m[1]:
                 block += m[1].lower() not in INLINE
-                out.append(m[1].lower())
+                add(m[1].lower())
             continue
         closing, attributes = bool(m[2] or m[5]), m[4] or m[7] or ""
-        if name not in INLINE:
-            block += 1
-        out.append(name)
+        if not formulas or name not in FORMULA:
+            block += name not in INLINE
+            if not (closing and name in ASIDE):
+                add(name)
         if closing:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if depth is not None:
+                if name in ASIDE:
+                    closed.add(stack[depth][3])
+                formulas -= sum(e[0] == "math" for e in stack[depth:])
                 del stack[depth:]
         elif name not in VOID and not attributes.endswith("/"):
             if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
                 stack.pop()
             own = place_of(name, attributes, main)
-            if own == "main":
+            formulas += name == "math"
+            if name in ASIDE:
+                asides.append(aside)
+                stack.append((name, place, main, len(asides) - 1))
+            elif own == "main":
                 has_main = True
-                stack.append((name, None, True))
+                stack.append((name, None, True, 0))
             elif own:
-                stack.append((name, own, main))
+                stack.append((name, own, main, aside))
             else:
-                stack.append((name, place, main))
-        place, main = (stack[-1][1], stack[-1][2]) if stack else (None, False)
+                stack.append((name, place, main, aside))
+        place, main, aside = stack[-1][1:] if stack else (None, False, 0)
         if name == "a":
             links = not closing
     text(len(page))
+    if closed:
+        left = [False] * len(asides)
+        for k in range(1, len(asides)):
+            left[k] = k in closed or left[asides[k]]
+        out = [t for t, k in zip(out, inside, strict=True) if not left[k]]
     return out, has_main
 
 
