@@ -272,6 +272,21 @@ def test_html_asides():
     assert html_extract.extract("<article><p>one two</p><script>no</article>", w) == "one two"
 
 
+def test_html_hidden():
+    w = html_extract.weights()
+    page = "<html><body {}><nav><a>m</a></nav><div {}><{}><p>one two three</p><p>four five six</p></{}></div></body></html>"
+    for value in ('data-title="The hidden valley"', "data-href=/hidden-gems", "data-x='hidden'", 'class="article-body overflow-hidden"', 'class="md:hidden-x"', 'data-class="hidden"'):
+        for name in ("article", "div", "main"):
+            for at in range(3):
+                places = ["", "", name]
+                places[at] = f"{name} {value}" if at == 2 else value
+                assert html_extract.extract(page.format(*places, name), w) == "one two three four five six", (value, name, at)
+    for value in ("hidden", 'hidden="until-found"', 'class="x hidden"', 'CLASS=hidden', 'style="display: none"', "aria-hidden=true"):
+        assert html_extract.extract(f"<article><p>one two</p><div {value}>no</div><p>three</p></article>", w) == "one two three"
+    article = '<article class="post category-social tag-login comments-open"><p>one two three</p><div class="comments"><article class="comment">no</article><article class="comment-body">no</article></div></article>'
+    assert html_extract.extract(article, w) == "one two three"
+
+
 def test_language_id(spark):
     english = "the of and to in that was for with this from have not are but they which"
     german = "der die und das nicht mit ein ist von auch sich werden über für können schließlich"

@@ -39,7 +39,7 @@ _token = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>",
     re.S | re.I,
 )
-_attribute = re.compile(r"""\b(class|id|role|style|aria-hidden|type)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))|\b(hidden)\b""", re.I)
+_attribute = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?""")
 _parts = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,10 +64,11 @@ BY_HINT = {
         "form": "form login signin signup register search searchbox",
         "comments": "comment comments disqus reply replies respond discussion",
         "share": "share sharing social sharebar",
-        "hidden": "hidden invisible",
     }.items()
     for k in names.split()
 }
+#: Classes that hide an element; as parts of a longer name they say nothing.
+HIDING = frozenset(("hidden", "invisible"))
 #: Pairs that are read as one hint.
 PAIRS = {("site", "header"): "header", ("page", "header"): "header", ("top", "bar"): "header", ("side", "bar"): "sidebar", ("sign", "up"): "form"}
 
@@ -84,28 +85,35 @@ def hint_of(word: str, in_main: bool) -> str | None:
     return None if word.startswith("commentar") else next((place for stem, place in STEMS.items() if word.startswith(stem)), None)
 
 
-def place_of(name: str, attributes: str, in_main: bool) -> str | None:
+def place_of(name: str, attributes: str, in_main: bool, around: str | None = None) -> str | None:
     """The kind of place that an element opens, or None if it says nothing."""
-    found = None
+    found, classes = None, []
     for m in _attribute.finditer(attributes):
-        if m[5]:
+        key, value = m[1].lower(), next((x for x in m.groups()[1:] if x is not None), "")
+        if key == "hidden":
             return "hidden"
-        key, value = m[1].lower(), next((x for x in m.groups()[1:4] if x is not None), "")
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return "hidden"
         elif key == "aria-hidden":
             if value.lower() == "true":
                 return "hidden"
-        elif key != "type":
+        elif key in ("class", "id", "role"):
             if key == "role" and value.lower() in ("main", "article"):
                 return "main"
+            if key == "class":
+                classes = value.lower().split()
+                if not HIDING.isdisjoint(classes):
+                    found = "hidden"
             words = [w.lower() for w in _parts.findall(value)]
             found = found or next((PAIRS[p] for p in zip(words, words[1:], strict=False) if p in PAIRS), None) or next((h for w in words if (h := hint_of(w, in_main))), None)
-    if found and name not in ("html", "body", "main"):
-        return found
-    if name in ("article", "main"):
+    if name == "article":  # a comment is often an article inside another, or among comments
+        comment = in_main and "comment" in classes or around == "comments" and any(c.startswith("comment") for c in classes)
+        return "comments" if comment else "main"
+    if name == "main":
         return "main"
+    if found and name not in ("html", "body"):
+        return found
     if name == "header":
         return None if in_main else "header"
     return BY_TAG.get(name)
@@ -163,7 +171,7 @@ def read(page: str) -> tuple[list[Run | str], bool]:
         elif name not in VOID and not attributes.endswith("/"):
             if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
                 stack.pop()
-            own = place_of(name, attributes, main)
+            own = place_of(name, attributes, main, place)
             formulas += name == "math"
             if name in ASIDE:
                 asides.append(aside)
