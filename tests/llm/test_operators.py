@@ -198,6 +198,19 @@ def test_secrets(spark):
     assert [s.kind for s in secrets.scan_text(texts[5])] == ["random"] and secrets.scan_text(texts[6]) == []
 
 
+def test_secrets_of_any_run():
+    r = random.Random(9)
+    noise = lambda encoding, n: "".join(r.choice(secrets.ALPHABETS[encoding]) for _ in range(n))
+    for before, after in (("client_key=", ""), ("https://h/x?sig=", "&n=1"), ("<a data-x=", ">"), ("x==", "==")):
+        run = noise("base62", 48)
+        assert [(s.kind, s.start, s.end) for s in secrets.scan_text(before + run + after)] == [("random", len(before), len(before + run) + 2 * (after == "=="))]
+    for encoding in ("lower", "UPPER"):
+        run = noise(encoding, 160)
+        assert [(s.kind, s.encoding) for s in secrets.scan_text(f"see {run} there")] == [("random", encoding)]
+    for plain in ("donaudampfschifffahrtsgesellschaft", "internationalization" * 4, "=" * 60, "-" * 60, "00000000000000001234", "20240115093045123456", "ABCDEFGHIJKLMNOPQRSTUVWXYZ" * 2):
+        assert secrets.scan_text(f"x={plain} y") == []
+
+
 def brute_personal(t):
     out = [("email", m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
