@@ -318,6 +318,22 @@ def test_language_id(spark):
     assert kept.columns == df.columns and kept.count() == len(rows) - 2
 
 
+def test_unlearned_languages_are_dropped(spark):
+    english = "the of and to in that was for with this from have not are but they which people city every year old house world visit long history many schools water night under other great"
+    german = "der die und das nicht mit ein ist von auch sich werden über für können schließlich stadt jedes jahr alt haus welt besuchen lange geschichte viele schulen wasser nacht unter andere groß"
+    other = [
+        "La città di Roma è una delle più antiche e belle del mondo, con una storia che abbraccia più di duemila anni. Ogni anno milioni di turisti vengono a visitare i suoi monumenti",
+        "Helsinki on Suomen pääkaupunki ja suurin kaupunki. Se sijaitsee maan etelärannikolla Suomenlahden rannalla. Kaupungissa on paljon museoita, teattereita ja kouluja, ja siellä asuu yli kuusisataatuhatta ihmistä",
+        "Ankara Türkiye'nin başkenti ve en kalabalık ikinci şehridir. Şehirde birçok üniversite, müze ve tiyatro bulunmaktadır ve her yıl binlerce turist bu güzel şehri ziyaret etmektedir",
+        "Warszawa jest stolicą Polski i największym miastem kraju. Leży nad Wisłą i jest ważnym ośrodkiem naukowym, kulturalnym oraz gospodarczym. W mieście znajduje się wiele uczelni wyższych",
+    ]
+    rows = [(k, " ".join(R.choices((english if k % 2 else german).split(), k=R.choice((1, 2, 3, 6, 12, 30, 300)))), "en" if k % 2 else "de") for k in range(600)]
+    rows += [(1000 + k, t, None) for k, t in enumerate(other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in language_id.drop_unknown(df).collect()) == list(range(600))
+    assert language_id.drop_unknown(df.where("lang IS NULL")).count() == 0
+
+
 def test_queries_have_all_operators():
     assert [sum(q.startswith(f"op{n}_") for q in queries.QUERIES) for n in range(1, 11)] == [1] * 10
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)

@@ -21,6 +21,7 @@ repeated rows are predicted alike; other columns are not read.
 from __future__ import annotations
 
 import functools
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatloom.llm.common import fresh, slices, small_batches, strings
+from threatloom.llm.common import slices, small_batches, strings
 
 #: n-grams in a profile, and of a document that are compared.
 PROFILE = 400
@@ -108,19 +109,27 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def learn(df: DataFrame, text_col: str, lang_col: str, by: Column, per_language: int = PER_LANGUAGE, profile: int = PROFILE) -> dict[str, list[int]]:
-    """Language to its n-grams (as integers, see :func:`code`) by rank, from the rows of ``df``; ``by`` is what
-    the sample's hash is taken of."""
+def training_sample(df: DataFrame, text_col: str, lang_col: str, by: Column, per_language: int = PER_LANGUAGE) -> DataFrame | None:
+    """``_lang, _text`` of the rows that are learned from, or None if there are none."""
     known = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), by.alias("_by"))
     counts = known.groupBy("_lang").count().limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
-        return {}
+        return None
     share = F.create_map(*chain.from_iterable((F.lit(r["_lang"]), F.lit(min(1.0, per_language / r["count"]))) for r in counts))
     drawn = F.pmod(F.xxhash64("_by", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.where(drawn < share[F.col("_lang")]).select("_lang", "_text")
+    return known.where(drawn < share[F.col("_lang")]).select("_lang", "_text")
+
 
+def learn(df: DataFrame, text_col: str, lang_col: str, by: Column, per_language: int = PER_LANGUAGE, profile: int = PROFILE) -> dict[str, list[int]]:
+    """Language to its n-grams (as integers, see :func:`code`) by rank, from the rows of ``df``; ``by`` is what
+    the sample's hash is taken of."""
+    sample = training_sample(df, text_col, lang_col, by, per_language)
+    return {} if sample is None else profiles_of(sample, profile)
+
+
+def profiles_of(sample: DataFrame, profile: int = PROFILE) -> dict[str, list[int]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, Counter] = {}
         grams = Grams()
@@ -152,15 +161,19 @@ class Profiles:
         self.own = np.arange(size, dtype=np.int32)[:, None]
 
     def predict(self, text: str | None, grams: Grams) -> tuple[str, float]:
+        return self.scored(text, grams)[:2]
+
+    def scored(self, text: str | None, grams: Grams) -> tuple[str, float, int]:
+        """Nearest language, score, and how many n-grams were compared."""
         top = grams.top(text, self.size)
         if top is None or not self.langs:
-            return "und", 0.0
+            return "und", 0.0, 0
         at = np.minimum(np.searchsorted(self.codes, top), len(self.codes) - 1)
         ranks = self.ranks[at]
         ranks[self.codes[at] != top] = self.size
         off = np.where(ranks == self.size, self.size, np.abs(ranks - self.own[: len(top)])).sum(0)
         best = int(off.argmin())
-        return self.langs[best], float(1 - off[best] / (self.size * len(top)))
+        return self.langs[best], float(1 - off[best] / (self.size * len(top))), len(top)
 
 
 def predict(df: DataFrame, profiles: dict[str, list[int]], text_col: str, pred_col: str = "lang_pred", score_col: str = "score", profile: int = PROFILE) -> DataFrame:
@@ -188,13 +201,70 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     return predict(df.select(id_col, held_out(id_col).alias("held_out"), text_col), profiles, text_col).drop(text_col)
 
 
-#: In the pipeline: texts farther from every language than this are rejected.
+#: In the pipeline: texts farther from every language than this are rejected, whatever was learned.
 LEAST_SCORE = 0.2
+#: Quantile of the training documents' scores, and the share of it that a text must reach.
+LOW, SLACK = 0.001, 0.9
+#: Words of the longest beginning of a training document that is scored besides the whole.
+BEGINNING = 256
+
+
+def length_class(grams: int) -> int:
+    """Half powers of two of the number of n-grams compared."""
+    return int(2 * math.log2(grams))
+
+
+def limits_of(sample: DataFrame, profiles: dict[str, list[int]], profile: int = PROFILE) -> dict[str, list[float]]:
+    """Language to the least score of a text by :func:`length_class`: ``SLACK`` of
+    the low quantile of the training documents of the language, whole ones or
+    their beginnings, whichever is lower."""
+    model = sample.sparkSession.sparkContext.broadcast(profiles)
+    classes = length_class(profile) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, grams = Profiles(model.value, profile), Grams()
+        for batch in slices(batches):
+            rows = []
+            for lang, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
+                words = text.split(None, BEGINNING)
+                parts = [" ".join(words[: 1 << k]) for k in range(BEGINNING.bit_length()) if 1 << k < len(words)]
+                for part, whole in [(text, True), *((x, False) for x in parts)]:
+                    best, score, n = here.scored(part, grams)
+                    if n and best == lang:
+                        rows.append((lang, whole, length_class(n), score))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.bool_(), pa.int32(), pa.float64()), strict=True)], names=["lang", "whole", "length", "score"])
+
+    scores = sample.mapInArrow(run, "lang string, whole boolean, length int, score double")
+    low = scores.groupBy("lang", "whole", "length").agg(F.percentile_approx("score", LOW, 10_000).alias("low"))
+    seen: dict[str, dict[int, float]] = {}
+    for r in low.collect():  # languages x 2 x classes of length
+        of = seen.setdefault(r["lang"], {})
+        of[r["length"]] = min(SLACK * r["low"], of.get(r["length"], 1.0))
+    out = {}
+    for lang, of in seen.items():  # a class without scores takes the lower of its neighbours'
+        out[lang] = [min(of[j] for j in (max((j for j in of if j <= k), default=None), min((j for j in of if j >= k), default=None)) if j is not None) for k in range(classes)]
+    return out
 
 
 def drop_unknown(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``df`` whose text is in one of the learned languages."""
-    profiles = learn(df.where(~held_out(id_col)), text_col, lang_col, F.col(id_col))
-    pred, score = fresh(df.columns, "_lang_pred", "_lang_score")
-    named = predict(df, profiles, text_col, pred, score)
-    return named.where((F.col(pred) != "und") & (F.col(score) >= least)).drop(pred, score)
+    """The rows of ``df`` whose text is in one of the learned languages: as near
+    to it as its training documents of the same length are, and ``least`` at least."""
+    sample = training_sample(df.where(~held_out(id_col)), text_col, lang_col, F.col(id_col))
+    profiles = {} if sample is None else profiles_of(sample)
+    limits = limits_of(sample, profiles) if profiles else {}
+    at = df.columns.index(text_col)
+    model = df.sparkSession.sparkContext.broadcast((profiles, limits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (known, low), grams = model.value, Grams()
+        here = Profiles(known, PROFILE)
+        for batch in slices(batches):
+            keep = []
+            for text in strings(batch.column(at)):
+                lang, score, n = here.scored(text, grams)
+                keep.append(bool(n) and score >= max(least, low[lang][length_class(n)] if lang in low else least))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, df.schema)
