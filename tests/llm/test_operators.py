@@ -236,6 +236,22 @@ def test_personal_field(spark):
     assert [got[k]["spans"] for k in (0, 1, 4, 5)] == [""] * 4 and got[3]["n_card"] == 1
 
 
+def test_personal_messages_settle():
+    strong = personal_data.Field(np.zeros((23, 5)), np.zeros((5, 5)), 6.0 * np.eye(5))
+    strong.unary[5, 4] = 8.0  # a plus sign: a phone
+    text = "+4917612345678 x " + "x 4917612345678 " * 60
+    p = strong.posteriors(personal_data.tokens_of(text))
+    local = np.zeros(5)
+    local[4] = 8.0
+    for k in range(61):  # the graph is a chain, so its marginals are known
+        want = np.exp(local - local.max())
+        assert np.abs(p[k] - want / want.sum()).max() < 0.01
+        local = np.log(np.exp(local[:, None] + strong.skip).sum(0))
+    same = "7" * 200
+    a, b = personal_data.tokens_of(f"{same}1 x {same}2")
+    assert not set(personal_data.alike(a)) & set(personal_data.alike(b))
+
+
 def brute_stats(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     win = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]

@@ -41,7 +41,7 @@ KINDS = ("email", "ip", "card", "phone", "crf_email", "crf_ip", "crf_card", "crf
 LABELS = ("O", "email", "ip", "card", "phone")
 #: Least posterior of a span that the field adds.
 LEAST = 0.9
-#: Rounds of message passing at most, and texts that the weights are learned from.
+#: Rounds of message passing at most for each edge of the longest path, and texts that the weights are learned from.
 ROUNDS, TEXTS = 12, 500
 
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -120,7 +120,7 @@ def tokens_of(text: str) -> list[Token]:
             body = word.rstrip(".,;:!?\"'>]}")
             bare = body.lstrip("\"'<[{=")
             if bare and _marked.search(bare):
-                waiting = Token(bare[:200], m.start() + len(body) - len(bare), m.start() + len(body), number, last[-24:], "")
+                waiting = Token(bare, m.start() + len(body) - len(bare), m.start() + len(body), number, last[-24:], "")
                 out.append(waiting)
         last = word
         number += 1
@@ -166,6 +166,14 @@ def edges_of(tokens: list[Token]) -> tuple[list[tuple[int, int]], list[tuple[int
     return chain, sorted(skips - set(chain))
 
 
+def longest_path(pairs: list[tuple[int, int]]) -> int:
+    """Edges on the longest forward path, along which evidence may have to pass."""
+    reach: dict[int, int] = {}
+    for a, b in sorted(pairs):
+        reach[b] = max(reach.get(b, 0), reach.get(a, 0) + 1)
+    return max(reach.values(), default=0)
+
+
 @dataclass(frozen=True)
 class Field:
     unary: np.ndarray  # features x labels
@@ -183,7 +191,7 @@ class Field:
             tables = np.array([t for _, _, t in pairs] + [t.T for _, _, t in pairs])
             back = np.r_[len(pairs) : 2 * len(pairs), 0 : len(pairs)]  # each message's reverse
             messages = np.zeros((len(src), len(LABELS)))
-            for _ in range(ROUNDS):
+            for _ in range(ROUNDS * (longest_path(chain + skips) + 1)):
                 belief = local.copy()
                 np.add.at(belief, dst, messages)
                 out = (belief[src] - messages[back])[:, :, None] + tables
