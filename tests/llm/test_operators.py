@@ -101,6 +101,14 @@ def test_jaccard_odd_tables(spark):
     assert parity_join.jaccard_classes(df.limit(0), 3, 9, 10).count() == 0
 
 
+def test_jaccard_refuses_what_bands_do_not_cover(spark):
+    df = spark.createDataFrame([(1, " ".join(BASE[:10])), (2, " ".join(BASE[:20]))], "doc_id long, text string")
+    for classes in (parity_join.jaccard_classes, parity_join.keep_one_of_each):
+        with pytest.raises(ValueError):
+            classes(df, 1, 1, 2)
+    assert {r["component_id"] for r in parity_join.jaccard_classes(df, 1, 3, 4).collect()} == {1, 2}
+
+
 def test_sketch_bounds_difference():
     for _ in range(50):
         a = np.unique(np.array([R.randrange(2**63) for _ in range(R.randint(1, 80))], np.uint64))

@@ -22,7 +22,8 @@ distance of two sketches is at most the symmetric difference of the sets.
    in more bits than those of linked sets can, directly or by the difference of
    their distances to the hub (the Hamming distance is a metric).
 
-No bucket is capped and no link between different texts is lost.
+No bucket is capped and no link between different texts is lost.  Similarities
+below ``1 / WIDTH``, whose partners may be more than one band apart, are refused.
 
 Defined cases: null and empty texts, and texts without words, have an empty set
 and stay alone; rows with a null id have a null component and take no part; a
@@ -223,6 +224,8 @@ def similar(p: int, q: int) -> Column:
 def jaccard_classes(df: DataFrame, words: int, p: int, q: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id_col>, n_shingles, component_id``, one row per row of ``df``: links are
     pairs with Jaccard similarity ``p / q`` or more of their ``words``-word shingles."""
+    if p * WIDTH < q:  # partners may be two size bands apart
+        raise ValueError(f"a similarity below 1 / {WIDTH} is not covered by the size bands")
     kind = df.schema[id_col].dataType.simpleString()
     texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     small_batches(df.sparkSession)
