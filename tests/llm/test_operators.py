@@ -94,6 +94,24 @@ def test_jaccard_classes(spark, n, p, q):
     assert sorted(r["doc_id"] for r in one.collect()) == sorted(i for i, (_, c) in got.items() if c == i)
 
 
+def test_jaccard_of_split_bins(spark, monkeypatch):
+    """A family whose members are near the threshold: buckets of many components."""
+    monkeypatch.setattr(parity_join, "PART", 2)
+    monkeypatch.setattr(parity_join, "LEAST_KEYS", 2)
+    r, texts = random.Random(4), []
+    for _ in range(3):
+        base = prose(90).split()
+        for _ in range(40):
+            words = list(base)
+            for k in r.sample(range(len(words)), r.randint(0, 3)):
+                words[k] = f"w{r.randrange(10**6)}"
+            texts.append(" ".join(words[r.randint(0, 4) :]))
+    df = table(spark, texts, 1)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in parity_join.jaccard_classes(df, 5, 4, 5).collect()}
+    assert got == brute_components([(r["doc_id"], r["text"]) for r in df.collect()], 5, 4, 5)
+    assert len({c for _, c in got.values()}) > 3
+
+
 def test_jaccard_odd_tables(spark):
     df = spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "A B C D")], "doc_id long, text string")
     got = sorted(((r["doc_id"] or -1), r["component_id"]) for r in parity_join.jaccard_classes(df, 3, 9, 10).collect())

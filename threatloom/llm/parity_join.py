@@ -54,6 +54,10 @@ FOLDED = 2048
 WIDTH = 1.35
 #: Parts that the keys are worked off in.
 ROUNDS = 4
+#: Of a set's keys, the least ones that tell which bucket of two sets is their first.
+LEAST_KEYS = 16
+#: Sets of a bin that are compared in one task; more are cut into parts.
+PART = 2048
 #: Words whose hashes a worker remembers; beyond it starts anew.
 REMEMBERED = 200_000
 
@@ -217,6 +221,55 @@ def may_link(p: int, q: int) -> Column:
     return (F.col("differ") * (q + p) <= (F.col("na") + F.col("nb")) * (q - p)) & (F.least("na", "nb") * q >= F.greatest("na", "nb") * p)
 
 
+def unsettled(placed: DataFrame) -> DataFrame:
+    """The rows (``key``, ``_id``, ``component``, ``bin``, ...) in whose bin, or in a
+    bin beside it, another component is; with ``parts``, the number of parts that
+    the row's bin and the next are cut into (null: empty bin)."""
+    bins = placed.groupBy("key", "bin").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / F.lit(PART)).cast("int").alias("r"))
+    bins = bins.select("key", "lo", "hi", "r", F.posexplode(F.array(F.col("bin"), F.col("bin") - 1, F.col("bin") + 1)).alias("side", "bin"))
+    of = [F.max(F.when(F.col("side") == k, F.col("r"))) for k in range(2)]
+    around = bins.groupBy("key", "bin").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.array(*of).alias("parts"))
+    return placed.join(around.where("lo <> hi").drop("lo", "hi"), ["key", "bin"])
+
+
+def refolded(bits: Column, need: Column) -> Column:
+    """The folded sketch, folded further to four bits or more for each shingle that
+    linked sets of the band may differ in."""
+    for size in (FOLDED >> k for k in range(1, 6)):
+        half = size // 64
+        short = F.zip_with(F.slice(bits, 1, half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        bits = F.when((need * 4 <= size) & (F.size(bits) == 2 * half), short).otherwise(bits)
+    return bits
+
+
+def first_shared() -> Column:
+    """Whether no smaller key than ``key`` is among the least keys of both sets.  A key
+    that both lists hold is the pair's first one if it is the least of these."""
+    return F.coalesce(F.col("key") <= F.array_min(F.array_intersect("ka", "kb")), F.lit(True))
+
+
+def neighbours(rows: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs (``a``, ``b``) of sets in the same or in neighbouring bins of a bucket,
+    of different components, whose sizes, distances to the hub and sketches allow
+    a link.  A bin of more than ``PART`` sets is cut into parts by the ids' hash,
+    and each pair of parts is a key of its own, so no task gets a whole bucket."""
+    part = lambda r: F.pmod(F.xxhash64("_id"), r).cast("int")
+    each = lambda r: F.explode(F.sequence(F.lit(0), r - 1))
+    left = rows.select("*", F.posexplode("parts").alias("up", "r")).where("r IS NOT NULL")
+    left = left.select("key", (F.col("bin") + F.col("up")).alias("bin"), "up", part(F.col("r")).alias("i"), each(F.col("r")).alias("j"), F.col("_id").alias("a"), F.col("_n").alias("na"), F.col("component").alias("ca"), F.col("differ").alias("ha"), F.col("_bits").alias("ba"), F.col("_least").alias("ka"))
+    own = F.col("parts")[0]
+    right = rows.select("key", "bin", each(own).alias("i"), part(own).alias("j"), F.col("_id").alias("b"), F.col("_n").alias("nb"), F.col("component").alias("cb"), F.col("differ").alias("hb"), F.col("_bits").alias("bb"), F.col("_least").alias("kb"))
+    most = (F.col("na") + F.col("nb")) * (q - p)
+    within = ((F.col("up") == 1) | (F.col("a") < F.col("b"))) & (F.col("ca") != F.col("cb")) & (F.abs(F.col("ha") - F.col("hb")) * (q + p) <= most) & (F.least("na", "nb") * q >= F.greatest("na", "nb") * p)
+    found = left.join(right, ["key", "bin", "i", "j"]).where(within & (distance() * (q + p) <= most) & first_shared())
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def of_round(rows: DataFrame, k: int) -> DataFrame:
+    """The rows whose key belongs to the ``k``-th of ``ROUNDS`` parts."""
+    return rows.where(F.pmod(F.shiftright("key", 1), F.lit(ROUNDS)) == k)
+
+
 def similar(p: int, q: int) -> Column:
     return F.col("both") * q >= F.col("either") * p
 
@@ -244,7 +297,7 @@ def jaccard_classes(df: DataFrame, words: int, p: int, q: int, id_col: str = "do
     keyed = keys.select("_id", F.explode("_keys").alias("key"))
     listed = None  # the other keys are the rarest, and meet nobody
     for k in range(ROUNDS):
-        some = keyed.where(F.pmod(F.shiftright("key", 1), F.lit(ROUNDS)) == k)
+        some = of_round(keyed, k)
         shared = some.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
         part = written(some.join(shared, "key"), "parity-shared")
         listed = part if listed is None else listed.unionByName(part)
@@ -256,11 +309,11 @@ def jaccard_classes(df: DataFrame, words: int, p: int, q: int, id_col: str = "do
     ranked = listed.join(sketches.select("_id", "_n", "_needs"), "_id").withColumn("need", F.get("_needs", band.cast("int")))
     own = Window.partitionBy("_id", band)
     ranked = ranked.withColumn("alone", F.col("need") + spare(F.col("need"), p, q) - F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("m", "key")))
-    rare = cut(ranked.where("rank <= need - alone").select("key", "_id", "_n", "need"))
-    hubs = rare.groupBy("key").agg(F.min("_id").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    members = cut(rare.join(hubs, "key"))
-
+    rare = written(ranked.where("rank <= need - alone").select("key", "_id", "_n", "need"), "parity-rare")
     removed(listed)
+    hubs = rare.groupBy("key").agg(F.min("_id").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    members = written(rare.join(hubs, "key"), "parity-members")
+    removed(rare)
 
     # Every member against its bucket's hub: sketches first, then sets, made of
     # the whole texts again, where these allow a link.
@@ -277,27 +330,32 @@ def jaccard_classes(df: DataFrame, words: int, p: int, q: int, id_col: str = "do
     links = linked(stars.where(may_link(p, q)).select("a", "b"))
     found = components(links)
 
-    # Pairs in one bucket whose components differ still.
+    # Pairs in one bucket whose components differ still.  Bins by the distance to
+    # the hub: linked sets are in one bin or in neighbours.  Of a bin only those
+    # rows are left around which there is another component.
     label = found.select(F.col("node").alias("_id"), "component")
-    placed = (
+    placed = written(
         members.where("_id <> hub")
         .join(label, "_id", "left")
         .withColumn("component", F.coalesce("component", "_id"))
         .join(stars.select(F.col("a").alias("_id"), F.col("b").alias("hub"), "differ"), ["_id", "hub"])
         .withColumn("bin", F.floor(F.col("differ") / F.col("need")).cast("int"))
-        .select("key", "_id", "_n", "need", "component", "differ", "bin")
+        .select("key", "_id", "_n", "need", "component", "differ", "bin"),
+        "parity-placed",
     )
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_rows = cut(placed.join(open_keys, "key", "left_semi").join(bits.drop("_size"), "_id"))
-    own_keys = open_rows.groupBy("_id").agg(F.sort_array(F.collect_list("key")).alias("_own"))  # at most D + 1 in either band
-    open_rows = cut(open_rows.join(own_keys, "_id"))
-    left = open_rows.select("key", F.col("_id").alias("a"), F.col("_n").alias("na"), F.col("component").alias("ca"), F.col("differ").alias("ha"), F.col("_bits").alias("ba"), F.col("_own").alias("ka"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
-    right = open_rows.select("key", F.col("_id").alias("b"), F.col("_n").alias("nb"), F.col("component").alias("cb"), F.col("differ").alias("hb"), F.col("_bits").alias("bb"), F.col("_own").alias("kb"), "bin")
-    within = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.abs(F.col("ha") - F.col("hb")) * (q + p) <= (F.col("na") + F.col("nb")) * (q - p)) & (F.least("na", "nb") * q >= F.greatest("na", "nb") * p)
-    close = distance() * (q + p) <= (F.col("na") + F.col("nb")) * (q - p)
-    first = F.col("key") == F.array_min(F.array_intersect("ka", "kb"))  # a pair comes from the first bucket it shares only
-    rest = left.join(right, ["key", "bin"]).where(within & close & first).select("a", "b").distinct()
-    more = linked(cut(rest))
+    removed(members)
+    open_rows = written(unsettled(placed), "parity-unsettled")
+    removed(placed)
+    least = open_rows.groupBy("_id").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LEAST_KEYS).alias("_least"))  # at most D + 1 keys of either band
+    wide = open_rows.join(least.join(bits.drop("_size"), "_id"), "_id").withColumn("_bits", refolded(F.col("_bits"), F.col("need")))
+    open_keys = written(wide, "parity-open")
+    removed(open_rows)
+    rest = None
+    for k in range(ROUNDS):
+        part = written(neighbours(of_round(open_keys, k), p, q), "parity-rest")
+        rest = part if rest is None else rest.unionByName(part)
+    removed(open_keys)
+    more = linked(cut(compared(rest.distinct(), bits).where(may_link(p, q)).select("a", "b")))
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
