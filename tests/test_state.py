@@ -64,7 +64,7 @@ def test_anomaly(spark):
     rows += [("s", 4 + k, 10 + k, "record", "x", ("low", "high")[k % 2], 0.1) for k in range(8)] + [("s", 20, 1000, "check", None, None, None), ("t", 1, 0, "check", None, None, None)]
     df = spark.createDataFrame(rows, "session_id string, event_id long, t int, kind string, category string, level string, confidence double").withColumn("ts", F.timestamp_seconds("t"))
     got = {(r["session_id"], r["event_id"]): r for r in sessions.anomaly(df).collect()}
-    assert got["s", 3]["found"] == "AD-CHAIN:Injection + tool exploitation chain,AD-SCORE"
+    assert got["s", 3]["found"] == "AD-CHAIN:injection and tools,AD-SCORE"
     assert abs(got["s", 3]["score"] - 76.0) < 1e-9
     assert got["s", 20]["found"].startswith("AD-ALT") and "CHAIN" not in got["s", 20]["found"]
     assert got["t", 1]["score"] == 0 and got["t", 1]["risk"] == "none"
@@ -83,7 +83,7 @@ def test_transactions(spark):
     tx = spark.createDataFrame([(1, 100, "0xA", 5.0, None, None), (2, 130, "0xB", 600.0, None, "approve(address,uint256)"), (3, 5000, "0xBAD", 5.0, "0x" + "f" * 64, None), (4, 9000, None, None, None, None)], "tx_id long, t int, to_address string, amount_usd double, contract_data string, function_sig string").withColumn("ts", F.timestamp_seconds("t")).withColumn("tx_type", F.lit("send"))
     ok = spark.createDataFrame([(110, 450.0)], "t int, amount_usd double").withColumn("ts", F.timestamp_seconds("t"))
     lists = [spark.createDataFrame([(a,)], "address string") for a in ("0xbad", "0xb")]
-    got = {r["tx_id"]: ([d["signature_id"] for d in r["detections"]], r["verdict"]) for r in check_transactions(tx, ok, *lists).collect()}
+    got = {r["tx_id"]: ([d["signature_id"] for d in r["detections"]], r["verdict"]) for r in check_transactions(tx.withColumn("account", F.lit(1)), ok.withColumn("account", F.lit(1)), *lists, "account").collect()}
     assert got[1] == (["WF-NEWADDR"], "challenge")
     assert got[2] == (["WF-COOL", "WF-TXLIMIT", "WF-HOURLIMIT", "WF-FUNC"], "challenge")
     assert got[3] == (["WF-BLOCKLIST", "WF-UNLIMITED"], "challenge")

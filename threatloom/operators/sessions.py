@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from threatloom.functions.columns import matches, safe_text
 from threatloom.functions.regex import Pattern
+from threatloom.operators.detection import BLOCK, CHALLENGE, QUARANTINE, decided, detection, present, worst_level
 from threatloom.operators.settings import DEFAULT, Settings
 
 # Topics and their weights.
@@ -38,10 +39,10 @@ TRANSITION = Pattern(
 POINTS = {"none": 0, "low": 5, "medium": 15, "high": 30, "critical": 50}
 #: Pairs of categories that make a chain within ``CHAIN_SECONDS``, and its level.
 CHAINS = [
-    (("prompt_injection", "tool_exploitation"), "Injection + tool exploitation chain", "critical"),
-    (("data_exfiltration", "tool_exploitation"), "Exfiltration chain attack", "critical"),
-    (("memory_poisoning", "prompt_injection"), "Memory poisoning + injection chain", "high"),
-    (("unicode_smuggling", "prompt_injection"), "Unicode smuggling + injection chain", "high"),
+    (("prompt_injection", "tool_exploitation"), "injection and tools", "critical"),
+    (("data_exfiltration", "tool_exploitation"), "data and tools", "critical"),
+    (("memory_poisoning", "prompt_injection"), "memory and injection", "high"),
+    (("unicode_smuggling", "prompt_injection"), "smuggled characters and injection", "high"),
 ]
 CHAIN_SECONDS = 300
 
@@ -77,8 +78,8 @@ class Escalation:
         self.scores.append(score)
         self.seen = at
         if len(self.scores) >= 3 and self.cumulative >= 12.0:
-            third, _, first = self.scores[-3], None, self.scores[-1]
-            if first >= self.scores[-2] >= third and self.transitions >= 2:
+            a, b, c = list(self.scores)[-3:]
+            if c >= b >= a and self.transitions >= 2:
                 return "high" if self.cumulative >= 20.0 else "medium"
         return None
 
@@ -167,9 +168,49 @@ def anomaly(events: DataFrame, session_col: str = "session_id", ts_col: str = "t
             state.record(row.at, row.category, row.level, row.confidence)
         return state.score, risk_level(state.score), ",".join(found)
 
-    return folded(rows, session_col, ["at", id_col], Risk, step, out).drop("at", "category", "level", "confidence")
+    return folded(rows, session_col, ["at", id_col], Risk, step, out).drop("category", "level", "confidence")
 
 
 def latest_risk(folded_events: DataFrame, session_col: str = "session_id", id_col: str = "event_id") -> DataFrame:
     """The last state of each session."""
-    return folded_events.groupBy(session_col).agg(F.max_by("score", id_col).alias("score"), F.max_by("risk", id_col).alias("risk"), F.count(F.lit(1)).alias("n_events"))
+    last = F.struct("at", id_col)
+    return folded_events.groupBy(session_col).agg(F.max_by("score", last).alias("score"), F.max_by("risk", last).alias("risk"), F.count(F.lit(1)).alias("n_events"))
+
+
+LAYER = "anomaly_detector"
+
+
+def anomaly_detections(score: Column, risk: Column, found: Column, settings: Settings = DEFAULT) -> Column:
+    """What a check of :func:`anomaly` saw, as detections."""
+    seen = F.split(F.coalesce(found, F.lit("")), ",")
+
+    def chain(name: str, level: str) -> Column:
+        call = BLOCK if not settings.ordinal or level == "critical" else QUARANTINE
+        return F.when(F.array_contains(seen, f"AD-CHAIN:{name}"), detection("AD-CHAIN", "chain_attack", level, call, f"events make a chain: {name}", found, LAYER, 0.80))
+
+    mild = risk != "critical" if settings.ordinal else risk <= "high"
+    return present([
+        *[chain(name, level) for _, name, level in CHAINS],
+        F.when(F.array_contains(seen, "AD-ALT"), detection("AD-ALT", "behavioral_anomaly", "high", QUARANTINE, "mild and grave events in turns", found, LAYER, 0.70)),
+        F.when(F.array_contains(seen, "AD-SCORE"), detection("AD-SCORE", "behavioral_anomaly", risk, F.when(mild, CHALLENGE).otherwise(BLOCK), "score of the session above the threshold", F.format_string("%.1f", score), LAYER, 0.75)),
+    ])
+
+
+def check_anomaly(events: DataFrame, session_col: str = "session_id", ts_col: str = "ts", id_col: str = "event_id", settings: Settings = DEFAULT) -> DataFrame:
+    """The rows of :func:`anomaly` (or of its streaming form) with the columns of a
+    decision; records, and checks that see nothing, are allowed."""
+    return decided_anomaly(anomaly(events, session_col, ts_col, id_col, settings), settings)
+
+
+def decided_anomaly(folded_events: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    rows = folded_events.withColumn("detections", anomaly_detections(F.col("score"), F.col("risk"), F.col("found"), settings))
+    level = worst_level(F.col("detections"))
+    grave = level == "critical" if settings.ordinal else level >= "critical"
+    call = F.when(F.size("detections") == 0, "allow").when(grave, BLOCK).otherwise(CHALLENGE)
+    return rows.select(*folded_events.columns, *decided(F.col("detections"), call))
+
+
+def crescendo_detections(level: Column, cumulative: Column) -> Column:
+    """The escalation fold's level as a detection of its message."""
+    call = F.when(level == "high", QUARANTINE).otherwise(CHALLENGE)
+    return present([F.when(level.isNotNull(), detection("PA-CRESCENDO", "prompt_injection", level, call, "conversation works its way up to a topic", F.format_string("%.1f", cumulative), "prompt_armor", 0.80))])

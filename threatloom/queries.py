@@ -183,7 +183,17 @@ CASE WHEN {_level('critical')} THEN 'block' WHEN {_level('high')} THEN 'quaranti
 
 def output_dns(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return pages.select("page_id", F.size(outputs.dns(safe_text(F.col("url")))).alias("n_dns"), outputs.host(F.col("url")).alias("host"))
+    pages = pages.unionByName(spark.createDataFrame([(-1 - k, u) for k, u in enumerate(HOSTS)], "page_id long, url string"))
+    return pages.select("page_id", F.size(outputs.dns(safe_text(F.col("url")))).cast("long").alias("n_dns"), outputs.host(F.col("url")).alias("host"))
+
+
+HOSTS = ["https://a.b.c.d.e.f/x", "http://" + "deadbeef" * 4 + ".example.org/?q=1", "https://Aq9Zx7Lm3Kp5Wv2Rt8.example.org", "http://" + "x" * 55 + ".example.org", "https://www.example.org:8080/a", "http://example.org"]
+DNS_SQL = f"""
+WITH p AS (SELECT page_id, url FROM pages UNION ALL {" UNION ALL ".join(f"SELECT {-1 - k}, {quoted(u)}" for k, u in enumerate(HOSTS))}),
+h AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) AS host FROM p), l AS (SELECT page_id, host, string_split(host, '.') AS x FROM h)
+SELECT page_id, host, (CASE WHEN len(x) > 5 OR (len(x) >= 3 AND len(list_filter(x[1:len(x) - 2], lambda w: length(w) > 50 OR (length(w) > 20 AND regexp_matches(w, '^[0-9a-f]+$'))
+  OR (length(w) > 15 AND list_sum(list_transform(map_values(list_histogram(string_split(w, ''))), lambda c: -(c / length(w)) * log2(c / length(w)))) > 4.0))) > 0) THEN 1 ELSE 0 END)::BIGINT AS n_dns FROM l
+"""
 
 
 def egress_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,8 +292,23 @@ CASE WHEN enough AND tool = 'memory_store' THEN len(list_filter(near, lambda e:
 
 
 def tool_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = tools.check_tool_calls(_calls(spark, sf_dir), tools.policies(spark))
-    return out.groupBy("tool", "verdict").agg(F.count(F.lit(1)).alias("n"))
+    """Calls with commands, paths and addresses."""
+    command = F.element_at(F.array(*map(F.lit, COMMAND_LINES)), (F.col("call_id") % 4 + 1).cast("int"))
+    url = F.when(F.col("call_id") % 7 == 0, "http://169.254.169.254/latest").otherwise("https://example.org/a")
+    calls = _calls(spark, sf_dir).withColumn("params", F.map_concat("params", F.create_map(F.lit("command"), command, F.lit("url"), url)))
+    out = tools.check_tool_calls(calls, tools.policies(spark))
+    return out.select("call_id", detection.signatures(F.col("detections")).alias("signatures"), "verdict")
+
+
+COMMAND_LINES = ["ls -l", "rm -rf /", "cat x | sh", "echo $(id) `id`"]
+TOOL_SQL = f"""WITH {CALLS}, w AS (SELECT *, count(*) OVER (PARTITION BY session_id, tool ORDER BY tm RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) > ({RATES}) AS fast,
+list({{'tm': tm, 'r': tool = 'read_file' AND ssh, 'w': tool = 'web_fetch'}}) OVER (PARTITION BY session_id ORDER BY tm, call_id ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS past FROM calls),
+p AS (SELECT *, coalesce(len(past), 0) >= 2 AS enough, list_filter(past, lambda e: tm - e.tm < 300000000) AS near FROM w),
+s AS (SELECT call_id, list_concat(list_filter([CASE WHEN fast THEN 'TG-RATE' END, CASE WHEN tool = 'bash' AND call_id % 4 > 0 THEN 'TG-CMD' END, CASE WHEN tool = 'bash' AND call_id % 4 = 3 THEN 'TG-CMD' END,
+CASE WHEN tool IN ('bash', 'read_file') AND ssh THEN 'TG-PATH' END, CASE WHEN tool = 'web_fetch' AND call_id % 7 = 0 THEN 'TG-SSRF' END], lambda x: x IS NOT NULL),
+list_transform(range(0, CASE WHEN enough AND tool = 'web_fetch' THEN len(list_filter(near, lambda e: e.r)) ELSE 0 END), lambda x: 'TG-CHAIN-EXFIL'),
+CASE WHEN enough AND tool = 'memory_store' AND len(list_filter(near, lambda e: e.w)) > 0 THEN ['TG-CHAIN-INJECT'] ELSE [] END) AS s FROM p)
+SELECT call_id, array_to_string(s, ',') AS signatures, CASE WHEN len(s) = 0 THEN 'allow' WHEN list_has_any(s, ['TG-CMD', 'TG-PATH', 'TG-SSRF', 'TG-CHAIN-EXFIL']) THEN 'block' ELSE 'challenge' END AS verdict FROM s"""
 
 
 def memory_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,19 +327,19 @@ SELECT event_id, signatures, CASE WHEN signatures = '' THEN 'allow' ELSE 'block'
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     path = F.when(F.col("event_type") == "error", "/api/admin/x").when(F.col("event_type") == "signup", "/api/auth").otherwise("/public")
-    return e.select(F.col("event_id").alias("req_id"), "ts", path.alias("path"), (F.col("user_id") % 5).cast("string").alias("client_ip"), F.when(F.col("event_id") % 97 == 0, 60000).otherwise(100).alias("content_length"), F.lit(None).cast("map<string,string>").alias("headers"), F.col("props").alias("body"))
+    return e.select(F.col("event_id").alias("req_id"), "ts", path.alias("path"), (F.col("user_id") % 5).cast("string").alias("client_ip"), F.when(F.col("event_id") % 97 == 0, 60000).otherwise(100).alias("content_length"), F.lit(None).cast("map<string,string>").alias("headers"), F.col("props").alias("body"), (F.col("event_id") % 3).alias("instance"), (F.col("event_id") % 2).cast("string").alias("agent"))
 
 
 def request_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = requests.check_requests(_requests(spark, sf_dir))
+    out = requests.check_requests(_requests(spark, sf_dir), agent_col="agent", instance_col="instance")
     return out.select("req_id", detection.signatures(F.col("detections")).alias("signatures"), "verdict")
 
 
 REQUEST_SQL = """
-WITH r AS (SELECT event_id AS req_id, epoch_us(ts) AS tm, user_id % 5 AS ip, event_id % 97 = 0 AS big, CASE event_type WHEN 'error' THEN '/api/admin/x' WHEN 'signup' THEN '/api/auth' ELSE '/public' END AS path,
+WITH r AS (SELECT event_id AS req_id, epoch_us(ts) AS tm, user_id % 5 AS ip, event_id % 3 AS shield, event_id % 2 AS agent, event_id % 97 = 0 AS big, CASE event_type WHEN 'error' THEN '/api/admin/x' WHEN 'signup' THEN '/api/auth' ELSE '/public' END AS path,
 CASE event_type WHEN 'error' THEN 10 WHEN 'signup' THEN 20 END AS lim, props AS text FROM events),
-a AS (SELECT *, count(lim) OVER (PARTITION BY ip, path ORDER BY tm RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS n FROM r),
-b AS (SELECT *, count(CASE WHEN n <= lim THEN 1 END) OVER (PARTITION BY ip ORDER BY tm RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS g FROM a),
+a AS (SELECT *, count(lim) OVER (PARTITION BY shield, ip, path ORDER BY tm RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS n FROM r),
+b AS (SELECT *, count(CASE WHEN n <= lim THEN 1 END) OVER (PARTITION BY ip, agent, path ORDER BY tm RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS g FROM a),
 s AS (SELECT req_id, array_to_string(list_filter([CASE WHEN big THEN 'PM-SIZE' END, CASE WHEN n > lim THEN 'PM-RATE' WHEN g > 2 * lim THEN 'PM-RATE-GLOBAL' END,
 CASE WHEN length(text) > 50 AND length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) / length(text) > 0.3 THEN 'PM-UNI' END], lambda x: x IS NOT NULL), ',') AS signatures FROM b)
 SELECT req_id, signatures, CASE WHEN signatures = '' THEN 'allow' ELSE 'block' END AS verdict FROM s
@@ -362,7 +387,19 @@ def _catalog_parts(categories: tuple[str, ...] | None = None) -> list[tuple[str,
 
 
 def catalog_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.stats(catalog.table(spark, catalog.STARTER))
+    return catalog.stats(catalog.table(spark, catalog.STARTER)).select("category", "signatures", F.col("patterns").cast("long").alias("patterns"), F.col("enabled").cast("long").alias("enabled"))
+
+
+def _stats_sql() -> str:
+    """Counts of the catalog's files, taken without Spark."""
+    seen: dict[str, list[int]] = {}
+    for file in sorted(Path(catalog.STARTER).glob("*.json")):
+        for s in json.loads(file.read_text()).get("signatures", []):
+            category = catalog.ALIASES.get(s["category"], s["category"])
+            if category in catalog.CATEGORIES:
+                n = seen.setdefault(category, [0, 0, 0])
+                n[:] = [n[0] + 1, n[1] + len(s["patterns"]), n[2] + int(s.get("enabled", True))]
+    return " UNION ALL ".join(f"SELECT {quoted(c)} AS category, {a}::BIGINT AS signatures, {b}::BIGINT AS patterns, {e}::BIGINT AS enabled" for c, (a, b, e) in seen.items())
 
 
 def ml_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -380,13 +417,13 @@ round({_count('text', features.YOU.re2())}::DOUBLE / greatest(len(w), 1), 9) AS
 
 
 def definition_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items and the literals as tool descriptions."""
+    """Benchmark items, documents and the literals as tool descriptions."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text")
-    rows = items.unionByName(_documents(spark, sf_dir).where("doc_id < 0"))
+    rows = items.unionByName(_documents(spark, sf_dir))
     return rows.select("doc_id", detection.signatures(definitions.definition_detections(F.lit("tool"), F.col("text"))).alias("signatures"))
 
 
-DEFINITION_SQL = f"WITH {DOCS}, d2 AS (SELECT item_id AS doc_id, text FROM benchmark UNION ALL SELECT * FROM docs WHERE doc_id < 0) SELECT doc_id, " + sql_list([(sql_first(definitions.INJECT, "text"), "MCP-INJECT"), (sql_first(definitions.ROLE, "text"), "MCP-ROLE"), (sql_first(definitions.HIDE, "text"), "MCP-HIDDEN")]) + " AS signatures FROM d2"
+DEFINITION_SQL = f"WITH {DOCS}, d2 AS (SELECT item_id AS doc_id, text FROM benchmark UNION ALL SELECT * FROM docs) SELECT doc_id, " + sql_list([(sql_first(definitions.INJECT, "text"), "MCP-INJECT"), (sql_first(definitions.ROLE, "text"), "MCP-ROLE"), (sql_first(definitions.HIDE, "text"), "MCP-HIDDEN")]) + " AS signatures FROM d2"
 
 
 def name_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -469,23 +506,105 @@ def facade_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
-    script = ["tell me about security", "great, now hack and exploit it", "okay so bypass the password", "now that works, jailbreak and inject a reverse shell"]
-    own = spark.createDataFrame([(-1, k, t) for k, t in enumerate(script)], "conv_id long, turn long, text string")
+    own = spark.createDataFrame([(-1, k, t) for k, t in enumerate(SCRIPT)], "conv_id long, turn long, text string")
     rows = c.select("conv_id", "turn", "text").unionByName(own)
     return rows.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("prompt_id"), F.timestamp_seconds(F.col("turn") * 60).alias("ts"), "text")
 
 
 def conversation_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.escalation(_turns(spark, sf_dir))
+    out = sessions.escalation(_turns(spark, sf_dir))
+    return out.select("session_id", "prompt_id", *[F.round(c, 9).alias(c) for c in ("message_score", "cumulative")], F.col("transitions").cast("long").alias("transitions"), "level")
+
+
+SCRIPT = ["tell me about security", "great, now hack it", "okay so bypass and exploit the password", "now that works, jailbreak and inject a reverse shell"]
+TOPIC_SQL = " + ".join(f"CASE WHEN contains(lower(text), {quoted(k)}) THEN {w}::DOUBLE ELSE 0::DOUBLE END" for k, w in sessions.TOPICS.items())
+ESCALATION_SQL = f"""
+WITH RECURSIVE t AS (SELECT conv_id AS session_id, turn AS prompt_id, coalesce(text, '') AS text FROM conversations WHERE role = 'user' UNION ALL {" UNION ALL ".join(f"SELECT -1, {k}, {quoted(x)}" for k, x in enumerate(SCRIPT))}),
+r AS (SELECT session_id, prompt_id, prompt_id * 60.0::DOUBLE AS tm, {TOPIC_SQL} AS score, regexp_matches(text, {quoted(sessions.TRANSITION.re2())}) AS moves, row_number() OVER (PARTITION BY session_id ORDER BY prompt_id) AS k FROM t),
+f AS (SELECT session_id, prompt_id, tm, score, k, CASE WHEN moves THEN score * 1.5::DOUBLE ELSE score END AS cum, moves::BIGINT AS n, [CASE WHEN moves THEN score * 1.5::DOUBLE ELSE score END] AS l FROM r WHERE k = 1
+UNION ALL SELECT r.session_id, r.prompt_id, r.tm, r.score, r.k, f.cum * greatest(0.5::DOUBLE, 1.0::DOUBLE - (r.tm - f.tm) / 60.0::DOUBLE * 0.05::DOUBLE) + CASE WHEN r.moves THEN r.score * 1.5::DOUBLE ELSE r.score END,
+f.n + r.moves::BIGINT, list_append(f.l, CASE WHEN r.moves THEN r.score * 1.5::DOUBLE ELSE r.score END) FROM f JOIN r ON r.session_id = f.session_id AND r.k = f.k + 1)
+SELECT session_id, prompt_id, round(score, 9) AS message_score, round(cum, 9) AS cumulative, n AS transitions,
+CASE WHEN len(l) >= 3 AND cum >= 12 AND l[-1] >= l[-2] AND l[-2] >= l[-3] AND n >= 2 THEN CASE WHEN cum >= 20 THEN 'high' ELSE 'medium' END END AS level FROM f
+"""
 
 
-def session_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as records and checks of a session's risk, and the last state of each."""
+def _risk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as records and checks of a session's risk."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     kinds = F.create_map(*[F.lit(x) for kv in {"purchase": "prompt_injection", "error": "tool_exploitation", "signup": "data_exfiltration", "click": "unicode_smuggling"}.items() for x in kv])
     levels = F.element_at(F.array(*map(F.lit, ("low", "medium", "high", "critical"))), (F.col("event_id") % 4 + 1).cast("int"))
-    rows = e.select(F.col("user_id").alias("session_id"), "event_id", "ts", F.when(F.col("event_type") == "view", "check").otherwise("record").alias("kind"), kinds[F.col("event_type")].alias("category"), levels.alias("level"), F.lit(0.8).alias("confidence"))
-    return sessions.latest_risk(sessions.anomaly(rows))
+    return e.select(F.col("user_id").alias("session_id"), "event_id", "ts", F.when(F.col("event_type") == "view", "check").otherwise("record").alias("kind"), kinds[F.col("event_type")].alias("category"), levels.alias("level"), F.lit(0.8).alias("confidence"))
+
+
+def session_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last state of each session."""
+    out = facade.session_risk(_risk_events(spark, sf_dir))
+    return out.select("session_id", F.round("score", 6).alias("score"), "risk", "n_events")
+
+
+RISK_FOLD = """RECURSIVE e AS (SELECT user_id AS session_id, event_id, epoch_us(ts) / 1e6 AS tm, event_type = 'view' AS chk, [5, 15, 30, 50][event_id % 4 + 1] * 0.8::DOUBLE AS points,
+row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM events),
+f AS (SELECT session_id, event_id, tm, chk, k, CASE WHEN chk THEN 0::DOUBLE ELSE least(100::DOUBLE, points) END AS score, CASE WHEN chk THEN 0::DOUBLE ELSE least(100::DOUBLE, points) * 0.2::DOUBLE END AS low FROM e WHERE k = 1
+UNION ALL SELECT e.session_id, e.event_id, e.tm, e.chk, e.k, CASE WHEN e.chk THEN greatest(f.score * 0.95::DOUBLE, f.low) ELSE least(100::DOUBLE, f.score + e.points) END,
+CASE WHEN e.chk THEN f.low ELSE greatest(f.low, least(100::DOUBLE, f.score + e.points) * 0.2::DOUBLE) END FROM f JOIN e ON e.session_id = f.session_id AND e.k = f.k + 1)"""
+RISK_SQL = f"""WITH {RISK_FOLD} SELECT session_id, round(arg_max(score, k), 6) AS score, CASE WHEN arg_max(score, k) > 80 THEN 'critical' WHEN arg_max(score, k) > 60 THEN 'high' WHEN arg_max(score, k) > 40 THEN 'medium' WHEN arg_max(score, k) > 20 THEN 'low' ELSE 'none' END AS risk, count(*) AS n_events FROM f GROUP BY 1"""
+
+
+def anomaly_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the checks of the sessions' risk decide."""
+    out = sessions.check_anomaly(_risk_events(spark, sf_dir)).where("kind = 'check'")
+    return out.select("event_id", detection.signatures(F.col("detections")).alias("signatures"), "verdict")
+
+
+ANOMALY_SQL = f"""WITH {RISK_FOLD}, r AS (SELECT user_id AS session_id, event_id, epoch_us(ts) AS us, CASE event_type WHEN 'purchase' THEN 'p' WHEN 'error' THEN 't' WHEN 'signup' THEN 'x' WHEN 'click' THEN 'u' ELSE '' END AS cat, event_id % 4 AS lev FROM events WHERE event_type IS DISTINCT FROM 'view'),
+past AS (SELECT c.event_id, list({{'us': r.us, 'cat': r.cat, 'lev': r.lev, 'age': c.tm - r.us / 1e6}} ORDER BY r.us, r.event_id) AS p FROM f c JOIN r ON r.session_id = c.session_id AND (r.us / 1e6, r.event_id) < (c.tm, c.event_id) WHERE c.chk GROUP BY 1),
+q AS (SELECT f.event_id, f.score, coalesce(len(p), 0) AS n, list_transform(list_filter(p, lambda e: e.age < 300), lambda e: e.cat) AS cats, list_transform(p[-10:], lambda e: CASE WHEN e.lev >= 2 THEN 1 WHEN e.lev = 0 THEN -1 ELSE 0 END) AS side FROM f LEFT JOIN past USING (event_id) WHERE f.chk),
+s AS (SELECT event_id, list_filter([CASE WHEN n >= 2 AND list_has_all(cats, ['p', 't']) THEN 'AD-CHAIN' END, CASE WHEN n >= 2 AND list_has_all(cats, ['x', 't']) THEN 'AD-CHAIN' END, CASE WHEN n >= 2 AND list_has_all(cats, ['u', 'p']) THEN 'AD-CHAIN' END,
+CASE WHEN n >= 6 AND len(list_filter(range(1, len(side)), lambda k: side[k] * side[k + 1] = -1)) >= 3 THEN 'AD-ALT' END, CASE WHEN score > 60 THEN 'AD-SCORE' END], lambda x: x IS NOT NULL) AS s FROM q)
+SELECT event_id, array_to_string(s, ',') AS signatures, CASE WHEN len(s) = 0 THEN 'allow' ELSE 'block' END AS verdict FROM s"""
+
+
+def memory_recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recalls of three memories each, made of the documents by their ids."""
+    rows = _documents(spark, sf_dir).select((F.col("doc_id") - F.pmod("doc_id", F.lit(3))).alias("request_id"), "doc_id", F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"), F.when(F.pmod("doc_id", F.lit(2)) == 0, "user").otherwise("").alias("source"), F.lit(None).cast("string").alias("source_trust")).alias("m"))
+    asked = rows.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "m"))), lambda x: x["m"]).alias("memories"))
+    out = facade.check_memory_recalls(asked)
+    return out.select("request_id", F.array_join(F.transform("survivors", lambda s: s["id"]), ",").alias("survivors"), detection.signatures(F.col("detections")).alias("signatures"), "verdict")
+
+
+RECALL_SQL = f"""
+WITH {DOCS}, m AS (SELECT doc_id - ((doc_id % 3) + 3) % 3 AS request_id, doc_id, {sql_first(memory.WRITE_RULES, "coalesce(text, '')")} AS dirty, doc_id % 2 <> 0 AS untagged FROM docs),
+g AS (SELECT request_id, coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (NOT dirty), '') AS survivors, coalesce(string_agg(CASE WHEN dirty THEN 'MS-RECALL' ELSE 'MS-PROVENANCE' END, ',' ORDER BY doc_id) FILTER (dirty OR untagged), '') AS signatures FROM m GROUP BY 1)
+SELECT *, CASE WHEN signatures = '' THEN 'allow' WHEN survivors <> '' THEN 'sanitize' ELSE 'block' END AS verdict FROM g
+"""
+
+
+def canary_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs that hold a token: every 10th document its own session's, every 15th the next one's."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("session_id"), "text")
+    token = lambda s: outputs.canary_token(s.cast("string"), "salt")
+    held = F.when(F.col("doc_id") % 10 == 0, token(F.col("doc_id"))).when(F.col("doc_id") % 15 == 0, token(F.col("doc_id") + 1)).otherwise("")
+    rows = docs.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), held))
+    return outputs.canary_leaks(rows, docs.select("session_id", token(F.col("doc_id")).alias("token")), "doc_id")
+
+
+CANARY_SQL = """
+WITH t AS (SELECT doc_id, doc_id::VARCHAR AS owner, 'canary-' || substr(sha256('salt:' || doc_id), 1, 16) AS token FROM documents)
+SELECT doc_id, 'EG-CANARY' AS signature_id, token, owner FROM t WHERE doc_id % 10 = 0
+UNION ALL SELECT a.doc_id, 'EG-CANARY-CROSS', b.token, b.owner FROM t a JOIN t b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 15 = 0 AND a.doc_id % 10 <> 0
+"""
+
+
+def tool_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters of calls against what their tools declare, and their texts."""
+    params = F.create_map(F.lit("query"), F.col("text"), F.when(F.col("doc_id") % 2 == 0, "limit").otherwise("depth"), F.lit("1"))
+    words = lambda *x: F.array(*map(F.lit, x))
+    found = F.concat(definitions.schema_detections(params, words("query", "limit"), words("query", "limit", "page")), definitions.param_detections(params))
+    return _documents(spark, sf_dir).select("doc_id", detection.signatures(found).alias("signatures"))
+
+
+SCHEMA_SQL = f"WITH {DOCS} SELECT doc_id, {sql_list([('doc_id % 2 <> 0', 'MCP-SCHEMA'), ('doc_id % 2 <> 0', 'MCP-SCHEMA'), ('length(text) >= 10 AND ' + sql_first(definitions.INJECT_PARAM, 'text'), 'MCP-INJECT-PARAM')])} AS signatures FROM docs"
 
 
 def toxic_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -498,7 +617,7 @@ def toxic_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document checks over a stream of the table's files, written and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch"
     where = f"{base}/stream-{uuid.uuid4().hex}"
     path = f"{sf_dir}/documents.parquet"
     schema = spark.read.parquet(path).schema
@@ -551,6 +670,10 @@ QUERIES: dict[str, Query] = {
     "facade_outputs": facade_outputs,
     "conversation_escalation": conversation_escalation,
     "session_risk": session_risk,
+    "anomaly_decisions": anomaly_decisions,
+    "memory_recalls": memory_recalls,
+    "canary_leaks": canary_leaks,
+    "tool_schemas": tool_schemas,
     "stream_documents": stream_documents,
 }
 
@@ -565,6 +688,15 @@ ORACLE_SQL: dict[str, str] = {
     "prompt_hidden_markup": _signature_sql(MARKUP),
     "prompt_check": PROMPT_SQL,
     "output_check": OUTPUT_SQL,
+    "output_dns": DNS_SQL,
+    "tool_decisions": TOOL_SQL,
+    "catalog_stats": _stats_sql(),
+    "conversation_escalation": ESCALATION_SQL,
+    "session_risk": RISK_SQL,
+    "anomaly_decisions": ANOMALY_SQL,
+    "memory_recalls": RECALL_SQL,
+    "canary_leaks": CANARY_SQL,
+    "tool_schemas": SCHEMA_SQL,
     "egress_domains": EGRESS_SQL,
     "memory_documents": DOCUMENT_SQL,
     "memory_rates": MEMORY_SQL,

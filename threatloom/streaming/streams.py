@@ -1,8 +1,8 @@
 """The same checks over streams.
 
 Row-wise checks need no state, so batch functions apply to streaming frames as
-they are.  Here are what does need state: escalation of conversations, kept for
-each session with a time limit, windowed counts with a watermark, and callbacks.
+they are.  Here are what does need state: escalation of conversations and risk of
+sessions, whose state (bounded for each session) is kept for ever, rates, windowed counts with a watermark, and callbacks.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from threatloom.operators.detection import LEVELS, rank
-from threatloom.operators.sessions import Escalation, is_transition, topic_score
+from threatloom.operators.sessions import Escalation, Risk, is_transition, risk_level, topic_score
+from threatloom.operators.settings import DEFAULT, Settings
 
 #: Late rows beyond this are dropped.
 LATENESS = "10 minutes"
@@ -51,6 +52,58 @@ class EscalationProcessor(StatefulProcessor):
         pass
 
 
+RISK = T.StructType([
+    T.StructField("session_id", T.StringType()), T.StructField("event_id", T.LongType()), T.StructField("at", T.DoubleType()), T.StructField("kind", T.StringType()),
+    T.StructField("score", T.DoubleType()), T.StructField("risk", T.StringType()), T.StructField("found", T.StringType()),
+])
+
+
+class RiskProcessor(StatefulProcessor):
+    """The anomaly fold with its state in the state store."""
+
+    def __init__(self, decay: float, threshold: float):
+        self.decay, self.threshold = decay, threshold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        event = T.StructType([T.StructField("at", T.DoubleType()), T.StructField("category", T.StringType()), T.StructField("level", T.StringType())])
+        self.kept = handle.getValueState("risk", T.StructType([T.StructField("score", T.DoubleType()), T.StructField("floor", T.DoubleType()), T.StructField("events", T.ArrayType(event))]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state = Risk()
+        if self.kept.exists():
+            state.score, state.floor, events = self.kept.get()
+            state.events.extend(tuple(e) for e in events)
+        found = []
+        batch = pd.concat(list(rows)).sort_values(["at", "event_id"])  # one session's rows of one micro-batch
+        for row in batch.itertuples(index=False):
+            seen: list[str] = []
+            if row.kind == "check":
+                seen = state.check(row.at, self.decay, self.threshold)
+            else:
+                state.record(row.at, row.category, row.level, row.confidence)
+            found.append((key[0], row.event_id, row.at, row.kind, state.score, risk_level(state.score), ",".join(seen)))
+        self.kept.update((state.score, state.floor, list(state.events)))
+        yield pd.DataFrame(found, columns=RISK.names)
+
+    def close(self) -> None:
+        pass
+
+
+def anomaly(events: DataFrame, session_col: str = "session_id", ts_col: str = "ts", id_col: str = "event_id", settings: Settings = DEFAULT) -> DataFrame:
+    """Streaming form of :func:`threatloom.operators.sessions.anomaly`;
+    ``sessions.decided_anomaly`` makes decisions of its rows.  Needs the RocksDB
+    state store."""
+    rows = events.select(F.col(session_col).cast("string").alias("session_id"), F.col(id_col).alias("event_id"), (F.unix_micros(F.col(ts_col).cast("timestamp")) / 1e6).alias("at"), "kind", F.coalesce("category", F.lit("")).alias("category"), F.coalesce("level", F.lit("none")).alias("level"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    return rows.groupBy("session_id").transformWithStateInPandas(RiskProcessor(settings.anomaly_decay, settings.anomaly_threshold), RISK, "append", "None")
+
+
+def rates(rows: DataFrame, ts_col: str, keys: list[str], length: str = "60 seconds", slide: str = "10 seconds") -> DataFrame:
+    """Rows of each key in sliding windows: the streaming form of the rate rules,
+    to the precision of ``slide``."""
+    seen = rows.withWatermark(ts_col, LATENESS) if rows.isStreaming else rows
+    return seen.groupBy(F.window(ts_col, length, slide).alias("w"), *keys).agg(F.count(F.lit(1)).alias("recent")).select(F.col("w.end").alias("end"), *keys, "recent")
+
+
 def escalation(messages: DataFrame, session_col: str = "session_id", ts_col: str = "ts", text_col: str = "text", id_col: str = "prompt_id") -> DataFrame:
     """Streaming form of :func:`threatloom.operators.sessions.escalation`.  Needs
     the RocksDB state store."""
