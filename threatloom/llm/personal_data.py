@@ -1,25 +1,29 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field.
 
 Patterns with their checks (digit counts, octets, Luhn) give the base spans.
-Beside them a conditional random field labels all tokens that have a digit or an
-at sign.  Tokens without either are ``O`` with certainty, so they cut the chain
-and need no inference: results equal those on the whole text.  Its factors are
+Beside them a conditional random field labels all mentions: numbers with whatever
+separates their groups (blanks, dots, brackets, hyphens), and addresses, also with
+``(at)`` for the sign.  The labels are notations of numbers and addresses, so words
+that are neither can have none of them.  Its factors are
 
-* what a token looks like and what stands beside it,
-* labels of neighbours (numbers written in several tokens),
-* skip edges between distant tokens that repeat, or are alike (the same digits
-  in another notation, the same address in other letters): each is tied to the
-  nearest earlier one, so edges are as many as tokens at most.
+* what a mention looks like, and the words beside it,
+* labels of neighbours, up to ``NEAR`` words away,
+* skip edges between distant mentions that repeat, or are alike (the same digits
+  in another notation, the same last digits, the same address in other letters):
+  each is tied to the nearest earlier one, so edges are few times as many as mentions.
 
 Loopy belief propagation passes messages along all edges until they settle; so
-what is plain in one place labels its bare repetition in another.  Weights are
-learned on the driver by pseudo-likelihood from generated labelled texts
+what is plain in one place labels its bare repetition in another.  Messages that
+have not settled when they could have passed every path ``ROUNDS`` times are not
+used: then a spanning forest (the chain first) is solved, which is exact.  Weights
+are learned on the driver by pseudo-likelihood from generated labelled texts
 (:func:`labelled_texts`), and are the same for all documents.
 
 Defined cases: null and empty texts have no spans; offsets count code points,
 ends exclusive; found spans that touch a base span are not reported again;
-repeated rows give equal results; an empty table gives an empty result; other
-columns are not read.
+repeated rows give equal results; rows with a null id keep it; of mentions that are
+alike ties go to the nearest; an empty table gives an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -41,16 +45,20 @@ KINDS = ("email", "ip", "card", "phone", "crf_email", "crf_ip", "crf_card", "crf
 LABELS = ("O", "email", "ip", "card", "phone")
 #: Least posterior of a span that the field adds.
 LEAST = 0.9
-#: Rounds of message passing at most for each edge of the longest path, and texts that the weights are learned from.
-ROUNDS, TEXTS = 12, 500
+#: Rounds of message passing at most for each edge of the longest path, texts that the weights are learned from, and words between neighbours at most.
+ROUNDS, TEXTS, NEAR = 12, 800, 4
 
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _ip = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _card = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_marked = re.compile(r"[0-9@]")
-_token = re.compile(r"[^\s]+")
+_marked = re.compile(r"[0-9@]|[(\[] ?at ?[)\]]", re.I)
+_at = re.compile(r"@| ?[(\[] ?at ?[)\]] ?", re.I)
+_rest = re.compile(r"[A-Za-z0-9-]+(?:(?:\.| ?[(\[] ?dot ?[)\]] ?)[A-Za-z0-9-]+)*", re.I)
+_number = re.compile(r"\+?\(?\+?[0-9]+(?:(?:[ \xa0]?[().\-/\u2010-\u2013]{1,2}[ \xa0]?|[ \xa0]|\[\.\])[0-9]+)*")
+_group = re.compile(r"[+(]*[0-9]+")
+_word = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
@@ -96,66 +104,107 @@ def base_spans(text: str) -> list[Span]:
 # --- the field -----------------------------------------------------------
 
 
+#: Words that announce what a number or address is.
+CUES = (
+    frozenset("tel telephone phone call calls called mobile cell fax ring dial telefon handy reach whatsapp sms téléphone appel teléfono llame".split()),
+    frozenset("card cards visa mastercard amex credit debit karte carte tarjeta".split()),
+    frozenset("ip host server ping gateway subnet router addr dns".split()),
+    frozenset("mail email mailto write courriel correo".split()),
+    frozenset("order invoice ticket serial isbn id nr no number version ref reference article sku tracking case page pages chapter year years total rechnung bestellung".split()),
+)
+
+
 @dataclass
 class Token:
+    """A mention: a number or an address, as it is written."""
+
     text: str
     start: int
     end: int
-    place: int  # its number among the text's tokens
-    before: str
-    after: str
+    place: int  # words before it in the text, where they count
+    before: tuple[str, ...]  # up to three words before, nearest first
+    glued: bool  # letters or digits touch it
+    mark: str  # the characters just before and after
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    free = 0
+    for m in _at.finditer(text):
+        start = m.start()
+        while start > free and text[start - 1] in _local:
+            start -= 1
+        rest = _rest.match(text, m.end())
+        if free <= start < m.start() and rest:
+            yield start, rest.end()
+            free = rest.end()
+        else:
+            free = max(free, m.end())
 
 
 def tokens_of(text: str) -> list[Token]:
-    """Tokens with a digit or at sign, without the marks around them."""
+    """The mentions of a text in order."""
+    spans = list(_addresses(text))
+    taken = iter(spans)
+    busy = next(taken, None)
+    for m in _number.finditer(text):
+        while busy and busy[1] <= m.start():
+            busy = next(taken, None)
+        if busy and busy[0] < m.end():
+            continue
+        if sum(c.isdigit() for c in m[0]) <= 19:
+            spans.append(m.span())
+        else:  # too long for one number: its groups by themselves
+            spans += [(m.start() + g.start(), m.start() + g.end()) for g in _group.finditer(m[0])]
+    spans.sort()
     out: list[Token] = []
-    last, number = "", 0
-    waiting: Token | None = None
-    for m in _token.finditer(text):
-        word = m[0]
-        if waiting is not None:
-            waiting.after = word[:24]
-            waiting = None
-        if _marked.search(word):
-            body = word.rstrip(".,;:!?\"'>]}")
-            bare = body.lstrip("\"'<[{=")
-            if bare and _marked.search(bare):
-                waiting = Token(bare, m.start() + len(body) - len(bare), m.start() + len(body), number, last[-24:], "")
-                out.append(waiting)
-        last = word
-        number += 1
+    last, place = 0, 0
+    recent: tuple[str, ...] = ()
+    for start, end in spans:
+        words = _word.findall(text, last, start)
+        place += len(words)
+        recent = (*(w.lower() for w in words[: -4 : -1]), *recent)[:3]
+        before, after = text[start - 1 : start], text[end : end + 1]
+        out.append(Token(text[start:end], start, end, place, recent, before.isalnum() or before == "_" or after.isalnum() or after == "_", before + "\0" + after))
+        last = end
     return out
 
 
+_date = re.compile(r"[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:[0-9]{2}|[0-9]{4})")
+_decimal = re.compile(r"[0-9]+[.][0-9]+")
+
+
 def features(t: Token) -> list[float]:
     x = t.text
-    digits = sum(c.isdigit() for c in x)
-    others = len(x) - digits
     groups = re.findall("[0-9]+", x)
-    parts = x.split(".")
-    octets = len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
-    near = lambda s: any(c.isdigit() for c in s)
+    digits = "".join(groups)
+    n, shape = len(digits), tuple(map(len, groups))
+    if _at.search(x):
+        return [1.0, 1.0, "." in x.partition("@")[2] or "dot" in x.lower(), *[0.0] * 25, *(float(not c.isdisjoint(t.before)) for c in CUES)]
+    octets = len(groups) == 4 and n <= 12 and all(len(g) <= 3 and int(g) <= 255 for g in groups) and "." in x
     return [
-        1.0, "@" in x and "." in x.partition("@")[2], "@" in x, octets, x.count(".") >= 2, x.startswith("+"), x.startswith("("), "(" in x or ")" in x,
-        digits >= 13 and digits <= 19 and others <= 4, digits >= 13 and digits <= 19 and luhn("".join(c for c in x if c in "0123456789")), 7 <= digits <= 12, digits == 4 and not others, digits <= 3,
-        others == 0, others > digits, "-" in x and len(groups) >= 2, len(groups) >= 3, any(c in "$%€£:/=" for c in x), any(c.isalpha() for c in x), near(t.before), near(t.after), t.before.startswith("+"), len(x) > 24,
+        1.0, 0.0, 0.0, octets, octets and x.count(".") == 3, x.startswith("+") or x.startswith("(+"), "(" in x, n == 0, 13 <= n <= 19, 13 <= n <= 19 and luhn(digits), 13 <= n <= 19 and not luhn(digits),
+        9 <= n <= 12, n in (7, 8), n <= 6, len(groups) == 1, len(groups) == 1 and n in (10, 11, 12), shape[-3:] == (3, 3, 4), shape == (4, 4, 4, 4), digits.startswith("0"), digits.startswith("00"),
+        len(groups) > 2, t.glued, bool(_date.fullmatch(x)), bool(_decimal.fullmatch(x)), len(set(digits)) <= 2, any(c in "$€£#/=_" for c in t.mark), any(c in "%:°" for c in t.mark), any(c in "\"'<" for c in t.mark),
+        *(float(not c.isdisjoint(t.before)) for c in CUES),
     ]
 
 
 def alike(t: Token) -> list[str]:
-    """What ties a token to others: itself, its digits if many, its address."""
+    """What ties a mention to others: its digits if many, its address."""
+    if m := _at.search(t.text):
+        name = t.text[: m.start()].lower()
+        host = re.sub(r" ?[(\[] ?dot ?[)\]] ?", ".", t.text[m.end() :].lower())
+        return [f"a{name}@{host}", *([f"n{name}"] if len(name) >= 4 else [])]
     digits = "".join(c for c in t.text if c.isdigit())
-    keys = [f"t{t.text}"] if len(t.text) >= 4 else []
+    keys = [f"d{digits}"] if len(digits) >= 4 else []
     if len(digits) >= 7:
-        keys += [f"d{digits}", f"e{digits[-7:]}"]
-    if "@" in t.text:
-        keys.append(f"a{t.text.lower().partition('@')[0]}")
+        keys.append(f"e{digits[-7:]}")
     return keys
 
 
 def edges_of(tokens: list[Token]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Chain edges and skip edges, as pairs of places in ``tokens``."""
-    chain = [(k, k + 1) for k in range(len(tokens) - 1) if tokens[k + 1].place == tokens[k].place + 1]
+    chain = [(k, k + 1) for k in range(len(tokens) - 1) if tokens[k + 1].place <= tokens[k].place + NEAR]
     seen: dict[str, int] = {}
     skips: set[tuple[int, int]] = set()
     for k, t in enumerate(tokens):
@@ -163,7 +212,25 @@ def edges_of(tokens: list[Token]) -> tuple[list[tuple[int, int]], list[tuple[int
             if key in seen:
                 skips.add((seen[key], k))
             seen[key] = k
-    return chain, sorted(skips - set(chain))
+    return chain, sorted(skips)
+
+
+def forest(size: int, pairs: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int, np.ndarray]]:
+    """Those pairs, in order, that close no circle."""
+    root = list(range(size))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    out = []
+    for pair in pairs:
+        a, b = find(pair[0]), find(pair[1])
+        if a != b:
+            root[a] = b
+            out.append(pair)
+    return out
 
 
 def longest_path(pairs: list[tuple[int, int]]) -> int:
@@ -186,72 +253,92 @@ class Field:
         chain, skips = edges_of(tokens)
         pairs = [(a, b, self.chain) for a, b in chain] + [(a, b, self.skip) for a, b in skips]
         if pairs:
-            src = np.array([a for a, _, _ in pairs] + [b for _, b, _ in pairs])
-            dst = np.array([b for _, b, _ in pairs] + [a for a, _, _ in pairs])
-            tables = np.array([t for _, _, t in pairs] + [t.T for _, _, t in pairs])
-            back = np.r_[len(pairs) : 2 * len(pairs), 0 : len(pairs)]  # each message's reverse
-            messages = np.zeros((len(src), len(LABELS)))
-            for _ in range(ROUNDS * (longest_path(chain + skips) + 1)):
-                belief = local.copy()
-                np.add.at(belief, dst, messages)
-                out = (belief[src] - messages[back])[:, :, None] + tables
-                top = out.max(1, keepdims=True)
-                fresh = (top + np.log(np.exp(out - top).sum(1, keepdims=True)))[:, 0]
-                fresh = 0.5 * messages + 0.5 * (fresh - fresh.max(1, keepdims=True))
-                done = np.abs(fresh - messages).max() < 1e-3
-                messages = fresh
-                if done:
-                    break
-            np.add.at(local, dst, messages)
+            beliefs, settled = self.passed(local, pairs, ROUNDS * (longest_path(chain + skips) + 1), 0.5)
+            if not settled:
+                beliefs, _ = self.passed(local, forest(len(tokens), pairs), len(tokens) + 1, 0.0)
+            local = beliefs
         local = np.exp(local - local.max(1, keepdims=True))
         return local / local.sum(1, keepdims=True)
 
+    def passed(self, local: np.ndarray, pairs: list[tuple[int, int, np.ndarray]], rounds: int, damping: float) -> tuple[np.ndarray, bool]:
+        """Logarithms of beliefs, and whether the messages have settled."""
+        src = np.array([a for a, _, _ in pairs] + [b for _, b, _ in pairs])
+        dst = np.array([b for _, b, _ in pairs] + [a for a, _, _ in pairs])
+        tables = np.array([t for _, _, t in pairs] + [t.T for _, _, t in pairs])
+        back = np.r_[len(pairs) : 2 * len(pairs), 0 : len(pairs)]  # each message's reverse
+        messages = np.zeros((len(src), len(LABELS)))
+        done = False
+        for _ in range(rounds):
+            belief = local.copy()
+            np.add.at(belief, dst, messages)
+            out = (belief[src] - messages[back])[:, :, None] + tables
+            top = out.max(1, keepdims=True)
+            fresh = (top + np.log(np.exp(out - top).sum(1, keepdims=True)))[:, 0]
+            fresh = damping * messages + (1 - damping) * (fresh - fresh.max(1, keepdims=True))
+            done = bool(np.abs(fresh - messages).max() < 1e-4)
+            messages = fresh
+            if done:
+                break
+        belief = local.copy()
+        np.add.at(belief, dst, messages)
+        return belief, done
+
 
 def labelled_texts(count: int = TEXTS, seed: int = 23) -> list[list[tuple[str, str]]]:
-    """Texts as lists of (words, label): personal data in common notations, also
-    repeated in bare form, among numbers that are none."""
+    """Texts as lists of (words, label): personal data in common notations, often
+    repeated in others or bare, among numbers that are none."""
     r = random.Random(seed)
     digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     word = lambda: "".join(r.choice("aeiounrstlmd") for _ in range(r.randint(2, 9)))
+    cue = lambda k, share: [(r.choice(sorted(CUES[k])) + r.choice([":", "", " is"]), "O")] if r.random() < share else []
 
     def card() -> str:
         body = str(r.randint(3, 6)) + digits(14)
         return body + next(c for c in "0123456789" if luhn(body + c))
 
-    def phone() -> list[str]:
-        a, b, c = digits(3), digits(3), digits(4)
-        full = r.choice([f"+1 ({a}) {b}-{c}", f"+44 {a} {b} {c}", f"+1-{a}-{b}-{c}", f"+49{a}{b}{c}"])
-        return [full, *r.choice([[], [], [f"({a}) {b}-{c}"], [f"{a}-{b}-{c}"]])]
+    def cards() -> list[tuple[str, str]]:
+        number = card()
+        ways = ["".join, "-".join, " ".join, ".".join, " - ".join, "/".join]
+        return [(r.choice(ways)([number[k : k + 4] for k in range(0, 16, 4)]), "card") for _ in range(r.randint(1, 3))]
 
-    def plain() -> str:
-        return r.choice([
+    def phones() -> list[tuple[str, str]]:
+        if r.random() < 0.6:
+            a, b, c = str(r.randint(2, 9)) + digits(2), digits(3), digits(4)
+            forms = [f"+1 ({a}) {b}-{c}", f"+1-{a}-{b}-{c}", f"+1 {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", a + b + c, f"001 {a} {b} {c}", f"({a}){b}{c}"]
+        else:
+            land, area, own = r.choice(["49", "44", "33", "34"]), str(r.randint(1, 9)) + digits(r.randint(1, 2)), digits(r.randint(6, 7))
+            forms = [f"+{land} {area} {own}", f"+{land}{area}{own}", f"+{land} ({area}) {own}", f"0{area} {own}", f"0{area}/{own}", f"0{area}{own}", f"0{area}-{own}", area + own, f"00{land} {area} {own}", f"(0{area}) {own[:3]} {own[3:]}"]
+        got = [r.choice(forms) for _ in range(r.randint(1, 3))]
+        return [(x, "phone") for x in got]
+
+    def mails() -> list[tuple[str, str]]:
+        name, host, end = f"{word()}{r.choice(['.', '_', ''])}{word()}{r.choice(['', str(r.randint(1, 99))])}", word(), r.choice(["com", "org", "de"])
+        forms = [f"{name}@{host}.{end}", f"{name}@{host}.{end}".upper(), f"{name}(at){host}.{end}", f"{name} [at] {host} [dot] {end}", f"{name}@{host}"]
+        return [(r.choice(forms), "email") for _ in range(r.randint(1, 3))]
+
+    def hosts() -> list[tuple[str, str]]:
+        parts = [str(r.randint(0, 255)) for _ in range(4)]
+        return [(r.choice([".".join, ".".join, "[.]".join])(parts), "ip") for _ in range(r.randint(1, 2))]
+
+    def plain() -> list[tuple[str, str]]:
+        x = r.choice([
             lambda: digits(r.randint(1, 3)), lambda: digits(4), lambda: str(r.randint(1900, 2030)), lambda: f"{digits(2)}:{digits(2)}", lambda: f"${digits(2)}.{digits(2)}", lambda: f"{r.randint(1, 9)}.{r.randint(0, 9)}.{r.randint(0, 30)}",
-            lambda: f"20{digits(2)}-{digits(2)}-{digits(2)}", lambda: f"{digits(r.randint(5, 12))}", lambda: f"{word()}{digits(2)}", lambda: f"{digits(2)}%", lambda: f"{word()}-{digits(4)}-{word()}", lambda: f"{digits(20)}", lambda: f"@{word()}", lambda: digits(r.randint(13, 19)),
+            lambda: f"20{digits(2)}-{digits(2)}-{digits(2)}", lambda: f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1990, 2030)}", lambda: digits(r.randint(5, 12)), lambda: f"{word()}{digits(2)}", lambda: f"{digits(2)}%", lambda: f"{word()}-{digits(4)}-{word()}",
+            lambda: digits(20), lambda: digits(r.randint(13, 19)), lambda: f"{r.randint(1, 999)},{digits(3)}", lambda: f"{digits(3)}-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", lambda: f"#{digits(r.randint(4, 10))}", lambda: f"{digits(4)} {digits(2)}", lambda: f"{digits(r.randint(1, 4))}-{digits(r.randint(1, 4))}",
         ])()
+        return [(x, "O")] * r.choice([1, 1, 1, 2])
 
     out = []
     for _ in range(count):
-        items: list[tuple[str, str]] = []
+        items: list[list[tuple[str, str]]] = []
         for _ in range(r.randint(2, 8)):
             kind = r.random()
-            if kind < 0.15:
-                name, host = word(), f"{word()}.{r.choice(['com', 'org', 'de'])}"
-                items += [(f"{name}{r.randint(1, 99)}@{host}", "email")] * r.randint(1, 2)
-            elif kind < 0.27:
-                items += [(".".join(str(r.randint(0, 255)) for _ in range(4)), "ip")] * r.randint(1, 2)
-            elif kind < 0.4:
-                number = card()
-                items.append((number, "card"))
-                if r.random() < 0.4:
-                    items.append((r.choice(["-", " ", "."]).join(number[k : k + 4] for k in range(0, 16, 4)), "card"))
-            elif kind < 0.55:
-                items += [(p, "phone") for p in phone()]
-            else:
-                items.append((plain(), "O"))
-        mixed: list[tuple[str, str]] = []
+            k, group = (0, phones()) if kind < 0.2 else (1, cards()) if kind < 0.3 else (2, hosts()) if kind < 0.37 else (3, mails()) if kind < 0.47 else (4, plain())
+            items += [[*cue(k, 0.5), item] for item in group]
         r.shuffle(items)
+        mixed: list[tuple[str, str]] = []
         for item in items:
-            mixed += [(word(), "O") for _ in range(r.randint(0, 5))] + [item]
+            mixed += [(word(), "O") for _ in range(r.randint(1, 6))] + item + ([(",", "O")] if r.random() < 0.3 else [])
         out.append(mixed)
     return out
 
@@ -268,7 +355,7 @@ def learn(texts: list[list[tuple[str, str]]]) -> Field:
         tokens = tokens_of(text)
         if not tokens:
             continue
-        labels = [next(k for s, e, k in spans if s <= t.start < e) for t in tokens]
+        labels = [next(k for s, e, k in spans if s <= t.start < e) if next(e for s, e, k in spans if s <= t.start < e) >= t.end - 1 else 0 for t in tokens]
         near = np.zeros((len(tokens), 3, size))  # labels before, after, and at skip edges
         chain, skips = edges_of(tokens)
         for a, b in chain:
@@ -300,24 +387,16 @@ def field() -> Field:
 
 
 def field_spans(text: str, model: Field) -> list[Span]:
-    """Spans of the labels that the field is sure of; adjoining tokens of one label are one span."""
+    """Spans of the labels that the field is sure of."""
     tokens = tokens_of(text)
     if not tokens:
         return []
     p = model.posteriors(tokens)
     label = p.argmax(1)
     out: list[Span] = []
-    last = None
     for k, t in enumerate(tokens):
-        if label[k] == 0 or p[k, label[k]] < LEAST:
-            continue
-        sure = float(p[k, label[k]])
-        name = f"crf_{LABELS[label[k]]}"
-        if name in ("crf_phone", "crf_card") and last is not None and tokens[last].place == t.place - 1 and out[-1].kind == name:
-            out[-1] = Span(name, out[-1].start, t.end, False, min(sure, out[-1].posterior))
-        else:
-            out.append(Span(name, t.start, t.end, False, sure))
-        last = k
+        if label[k] and p[k, label[k]] >= LEAST:
+            out.append(Span(f"crf_{LABELS[label[k]]}", t.start, t.end, False, float(p[k, label[k]])))
     return [s for s in out if plausible(s, text)]
 
 
@@ -326,10 +405,10 @@ def plausible(s: Span, text: str) -> bool:
     value = text[s.start : s.end]
     digits = sum(c in "0123456789" for c in value)
     if s.kind == "crf_email":
-        return "@" in value.strip("@")
+        return bool(_at.search(value))
     if s.kind == "crf_ip":
-        return value.count(".") >= 3
-    return 13 <= digits <= 19 if s.kind == "crf_card" else 9 <= digits <= 15
+        return value.count(".") == 3
+    return 13 <= digits <= 19 if s.kind == "crf_card" else 7 <= digits <= 15
 
 
 def scan_text(text: str | None, model: Field) -> list[Span]:
