@@ -22,13 +22,13 @@ from __future__ import annotations
 
 import functools
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +46,7 @@ REMEMBERED = 150_000
 #: n-grams that a worker numbers; beyond it starts anew.
 MOST_NUMBERED = 200_000
 
-_words = re.compile(r"[^\W\d_]+").findall
+_words = regex.compile(r"\p{L}+").findall
 
 
 class Grams(dict):
