@@ -109,6 +109,9 @@ class Tokenizer(dict):
             self.parts[z] = (x, y)
         if any(z <= max(p) for z, p in self.parts.items()) or len(self.parts) != len(model["merges"]):
             raise ValueError("token ids must rise with the rank of their merges")
+        lacking = [c for c in byte_symbols() if c not in vocab or c + self.suffix not in vocab]
+        if lacking:  # a symbol without a token could not be encoded
+            raise ValueError(f"{len(lacking)} byte symbols have no token")
         self.find = ahocorasick.Automaton()
         texts = {self.ended(t[: -len(self.suffix)]) if t.endswith(self.suffix) else t: i for t, i in vocab.items() if t not in self.special}
         self.size = [0] * (max(vocab.values()) + 1)
