@@ -2,6 +2,7 @@
 
 import hashlib
 import html as htmllib
+import itertools
 import random
 import re
 
@@ -200,6 +201,16 @@ def test_token_counts(spark, tmp_path, block):
     assert got == {r["doc_id"]: len(t.encode(r["text"], special=False)) for r in df.collect()}
 
 
+def test_token_counts_of_any_rows(spark, tmp_path):
+    """Shuffled input, one file of many blocks, repeated rows, null ids, no rows."""
+    t = bpe.tokenizer(bpe.read_file(PATH))
+    rows = [(None if k == 7 else k % 30, prose(R.randint(0, 30)) if k % 9 else None) for k in range(60)] + [(99, "word " * 5000)]
+    df = spark.createDataFrame([(i, x, "c") for i, x in rows], "doc_id long, text string, part string").repartition(5, F.rand(3)).coalesce(1)
+    got = sorted((r["doc_id"] or -1, r["n_tokens"]) for r in token_counts.document_counts(df, PATH, 49407, f"{tmp_path}/a", block=16).collect())
+    assert got == sorted((i or -1, len(t.encode(x, special=False))) for i, x in rows)
+    assert token_counts.document_counts(df.limit(0), PATH, 49407, f"{tmp_path}/b").count() == 0
+
+
 def test_token_file_left_open(spark, tmp_path):
     np.array([5, 6, 9, 9, 7, 8], "<u2").tofile(f"{tmp_path}/part-00000-x.bin")
     got = [(r["doc_index"], r["start"], r["n_tokens"], r["closed"]) for r in token_counts.scan_token_files(spark, str(tmp_path), 9, 2).orderBy("doc_index").collect()]
@@ -237,6 +248,49 @@ def test_secrets_of_any_run():
         assert secrets.scan_text(f"x={plain} y") == []
 
 
+def test_secret_battery_recall():
+    """Random strings of 32 characters are found, identifiers are not."""
+    r = random.Random(12)
+    for encoding in ("lower", "UPPER", "base32", "lower36", "HEX", "base62", "base64", "base64url"):
+        hits = sum(any(s.kind != "assign" for s in secrets.scan_text("see " + "".join(r.choice(secrets.ALPHABETS[encoding]) for _ in range(32)) + " there")) for _ in range(60))
+        assert hits >= 51, (encoding, hits)
+    names = ("java/util/concurrent/ConcurrentHashMap", "AbstractSingletonProxyFactoryBean", "spark_sql_shuffle_partitions", "rechtsschutzversicherungsgesellschaften", "NOTIFICATION_SUBSCRIPTION_HANDLER", "window-function-frame-boundaries", "2024-01-15-weekly-status-report", "antidisestablishmentarianism", "some/path/to/a/file/of/the/project", "getUserAccountBalanceByAccountId")
+    assert [n for n in names if secrets.scan_text(f"use {n} here")] == []
+
+
+def test_secret_battery_by_hand():
+    """The statistics, and the false-discovery procedure, against plain loops."""
+    r = random.Random(3)
+    for encoding in ("lower", "digits", "base62", "base64"):
+        alphabet = secrets.ALPHABETS[encoding]
+        x = [r.randrange(len(alphabet)) for _ in range(37)]
+        got = secrets.battery(np.array([x]), encoding)[0]
+        n, size = len(x), len(alphabet)
+        chi = sum((x.count(k) - n / size) ** 2 / (n / size) for k in range(size))
+        assert abs(got[0] - (chi - (size - 1)) / (2 * (size - 1) * (n - 1) / n) ** 0.5) < 1e-9
+        kinds = secrets._kinds[encoding]
+        stay = sum((list(kinds).count(k) / size) ** 2 for k in set(kinds))
+        changes = sum(kinds[a] != kinds[b] for a, b in zip(x, x[1:]))
+        assert abs(got[1] - (changes - (n - 1) * (1 - stay)) / ((n - 1) * stay * (1 - stay)) ** 0.5) < 1e-9
+        mid = sum(x) / n
+        assert abs(got[3] - sum((a - mid) * (b - mid) for a, b in zip(x, x[1:])) / sum((a - mid) ** 2 for a in x) * n**0.5) < 1e-9
+    noise = lambda k: "".join(r.choice(secrets.ALPHABETS["base62"]) for _ in range(k))
+    for _ in range(20):
+        runs = [noise(r.randint(20, 60)) if r.random() < 0.5 else "".join(r.choice(secrets.VOCABULARY) for _ in range(8)) for _ in range(r.randint(1, 8))]
+        runs = [x for x in runs if len(x) >= 20]
+        p = [secrets.p_value(x, secrets.encoding_of(x)) for x in runs]
+        mean = sum(map(len, runs)) / max(1, len(runs))
+        scaled = [q * mean / len(x) for q, x in zip(p, runs)]
+        want = set()
+        for k in range(len(runs), 0, -1):  # the largest k with k scaled values up to RATE k / m
+            few = sorted(scaled)[:k]
+            if few[-1] <= secrets.RATE * k / len(runs):
+                want = {x for x, q in zip(runs, scaled) if q <= few[-1]}
+                break
+        text = " ".join(runs)
+        assert {text[s.start : s.end] for s in secrets.random_spans(text)} == want
+
+
 def brute_personal(t):
     out = [("email", m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
@@ -255,18 +309,65 @@ def test_personal_base():
 
 
 def test_personal_field(spark):
-    texts = [None, "", "call +1 (017) 555-7713, again (017) 555-7713", "card 4111 1111 1111 1111, also 4111.1111.1111.1111", "in 2024 some 12345 items, version 1.2.3, 10:30, $12.50", "9" * 50_000]
+    texts = [None, "", "call +1 (017) 555-7713, again (017) 555-7713", "card 4111 1111 1111 1111, also 4111.1111.1111.1111", "in 2024 some 12345 items, version 1.2.3, 10:30, $12.50", "9" * 50_000, "+49 30 1234567 and later 301234567 again", "+49 30 1234567 and later 301234567 again"]
     df = table(spark, texts)
     got = {r["doc_id"]: r for r in personal_data.digest(df).collect()}
     assert "crf_phone" in got[2]["spans"] and "crf_card" in got[3]["spans"]
     assert [got[k]["spans"] for k in (0, 1, 4, 5)] == [""] * 4 and got[3]["n_card"] == 1
+    assert "crf_phone:25:34" in got[6]["spans"] and got[6]["spans"] == got[7]["spans"]
+
+
+#: Held-out sentences, written by hand: what is personal in them, besides the base patterns.
+PERSONAL = [
+    ("reach +1 (415) 555-2671 now; again 415.555.2671 later", ["415.555.2671"]), ("my number is 017-555-7713", ["017-555-7713"]), ("tel: 0301234567", ["0301234567"]), ("Telefon 030 / 4567890", ["030 / 4567890"]), ("call (212) 555-0187 before noon", ["(212) 555-0187"]),
+    ("write to jane.roe (at) example.org please", ["jane.roe (at) example.org"]), ("mail: info[at]shop[dot]example[dot]com", ["info[at]shop[dot]example[dot]com"]), ("the card 5500.0000.0000.0004 was charged", ["5500.0000.0000.0004"]), ("ping 10[.]20[.]30[.]40 from there", ["10[.]20[.]30[.]40"]),
+    ("fax 089/1234567", ["089/1234567"]), ("mobile 0171 2345678, once more 01712345678", ["0171 2345678", "01712345678"]), ("sms to 555.867.5309", ["555.867.5309"]),
+    ("order 1234567890 and invoice 987654321", []), ("in 1999, 2005 and 2012-05-17 at 10:30", []), ("version 1.2.3 of 3.5.1, page 117", []), ("it costs $1,234.50, not 99.95", []), ("population 83190556 in 2021", []), ("isbn 978-3-16-148410-0", []), ("score 3-1 after 90 minutes", []), ("serial 000123456789", []),
+    ("between 15.03.2021 and 17.4.2022", []), ("x = 3.14159265 and y = 2.71828182", []), ("chapter 12, verses 3-17", []), ("ratio 16:9 at 1920x1080", []), ("meet me @ the corner", []),
+]
+
+
+def test_personal_held_out():
+    model, hits, wrong, missed = personal_data.field(), 0, 0, 0
+    for text, want in PERSONAL:
+        got = [text[s.start : s.end] for s in personal_data.scan_text(text, model) if not s.base]
+        hits, wrong, missed = hits + len(set(got) & set(want)), wrong + len(set(got) - set(want)), missed + len(set(want) - set(got))
+    assert hits / (hits + missed) >= 0.9 and hits / (hits + wrong) >= 0.9, (hits, wrong, missed)
+
+
+def brute_marginals(local, pairs):
+    size, labels = local.shape
+    total = np.zeros_like(local)
+    for y in itertools.product(range(labels), repeat=size):
+        weight = np.exp(sum(local[k, c] for k, c in enumerate(y)) + sum(t[y[a], y[b]] for a, b, t in pairs))
+        for k, c in enumerate(y):
+            total[k, c] += weight
+    return total / total.sum(1, keepdims=True)
+
+
+def test_personal_messages_against_enumeration():
+    rng = np.random.default_rng(5)
+    field = personal_data.Field(np.zeros((1, 5)), np.zeros((5, 5)), np.zeros((5, 5)))
+    normal = lambda x: np.exp(x - x.max(1, keepdims=True)) / np.exp(x - x.max(1, keepdims=True)).sum(1, keepdims=True)
+    for size in (2, 4, 6):
+        local = rng.normal(size=(size, 5))
+        tree = [(int(rng.integers(0, k)), k, rng.normal(size=(5, 5))) for k in range(1, size)]
+        got, settled = field.passed(local, tree, 200, 0.5)
+        assert settled and np.abs(normal(got) - brute_marginals(local, tree)).max() < 1e-3
+        if size > 2:
+            loop = [*tree, (0, size - 1, 0.5 * np.eye(5))]
+            got, settled = field.passed(local, loop, 500, 0.5)
+            assert settled and np.abs(normal(got) - brute_marginals(local, loop)).max() < 0.1
+            kept = personal_data.forest(size, loop)
+            assert len(kept) == size - 1
+            assert np.abs(normal(field.passed(local, kept, size + 1, 0.0)[0]) - brute_marginals(local, kept)).max() < 1e-6
 
 
 def test_personal_messages_settle():
-    strong = personal_data.Field(np.zeros((23, 5)), np.zeros((5, 5)), 6.0 * np.eye(5))
+    width = len(personal_data.features(personal_data.tokens_of("1")[0]))
+    strong = personal_data.Field(np.zeros((width, 5)), np.zeros((5, 5)), 6.0 * np.eye(5))
     strong.unary[5, 4] = 8.0  # a plus sign: a phone
-    text = "+4917612345678 x " + "x 4917612345678 " * 60
-    p = strong.posteriors(personal_data.tokens_of(text))
+    p = strong.posteriors(personal_data.tokens_of("+4917612345678 a b c d e " + "a b c d e 4917612345678 " * 60))
     local = np.zeros(5)
     local[4] = 8.0
     for k in range(61):  # the graph is a chain, so its marginals are known
@@ -274,8 +375,8 @@ def test_personal_messages_settle():
         assert np.abs(p[k] - want / want.sum()).max() < 0.01
         local = np.log(np.exp(local[:, None] + strong.skip).sum(0))
     same = "7" * 200
-    a, b = personal_data.tokens_of(f"{same}1 x {same}2")
-    assert not set(personal_data.alike(a)) & set(personal_data.alike(b))
+    a, b = personal_data.tokens_of(f"{same[:15]}1 {'x ' * 9}{same[:15]}2")
+    assert "d" + same[:15] + "1" in personal_data.alike(a) and "d" + same[:15] + "2" in personal_data.alike(b)
 
 
 def brute_stats(t):
@@ -305,8 +406,11 @@ def test_quality_rules(spark):
 def test_html(spark):
     w = html_extract.weights()
     pages = html_extract.labelled_pages(120, seed=99)
-    exact = sum(html_extract.extract(p, w).split() == words for p, words in pages)
-    assert exact >= 0.95 * len(pages)
+    hits = wrong = missed = 0
+    for page, words in pages:
+        got, want = set(html_extract.extract(page, w).split()), set(words)
+        hits, wrong, missed = hits + len(got & want), wrong + len(got - want), missed + len(want - got)
+    assert hits / (hits + wrong) > 0.95 and hits / (hits + missed) > 0.99
     page = "<html><head><title>T</title><script>var t='</p>';</script></head><body><nav><ul><li><a>m</a></li></ul></nav><article><h1>A &amp; B</h1><p><b>one\n two<br>three<p>four<div class='ad'>buy</div><p>five</article><div class='comments'><p>nice</p></div><footer>&copy; x</footer>"
     df = spark.createDataFrame([(0, "u", page, "z"), (1, None, None, "z"), (2, "u", "", "z"), (3, "u", "just text &lt;here", "z"), (4, "u", "<p>" * 20_000, "z")], "page_id long, url string, html string, text string")
     got = [(r["text"], r["n_chars"]) for r in html_extract.main_text(df).orderBy("page_id").collect()]
@@ -318,7 +422,7 @@ def test_html(spark):
 def test_html_asides():
     w = html_extract.weights()
     body = "<p>one two three</p>{}<p>four five six</p>"
-    for inside in ('<svg class="i"/>', '<svg><path d="M0"/><text>no</text><title/></svg>', "<button>", "<object data=x>", "<select><option>", "<canvas>", "<svg><g>", "<noscript>", "<template>", '<iframe src="x"/>', "<!-->", "<title-bar></title-bar>", "<button>no <b>no</b></button>", "<object><p>no</p></object>", "<svg>" + "<g><text>no</text></g>" * 200 + "</svg>"):
+    for inside in ('<svg class="i"/>', '<svg><path d="M0"/><text>no</text><title/></svg>', "<button>", "<object data=x>", "<select><option>", "<canvas>", "<svg><g>", "<noscript>", "<template>", '<iframe src="x"/>', "<!-->", "<title-bar></title-bar>", "<button>no <b>no</b></button>", "<svg>" + "<g><text>no</text></g>" * 200 + "</svg>"):
         for shell in ("<article>{}</article>", "<main><div>{}</div></main><footer><button>Go</button><svg></svg></footer>"):
             got = html_extract.extract("<body><nav><a>m</a></nav>" + shell.format(body.format(inside)), w)
             assert got == "one two three four five six", (inside, got)
@@ -342,6 +446,48 @@ def test_html_hidden():
     assert html_extract.extract(article, w) == "one two three"
 
 
+def test_html_keeps_what_names_do_not_rule_out():
+    """Pages put together by hand, in layouts that the labelled pages do not have."""
+    w = html_extract.weights()
+    inner = ("<math><mi>kept</mi></math>", "<object><p>kept</p></object>", "<canvas>kept</canvas>", "<p class='related-work'>kept</p>", "<h2 class='search'>kept</h2>", "<p class='note-alert'>kept</p>", "<div class='tabs'>kept</div>", "<p class='toc'>kept</p>", "<p class='copyright-law'>kept</p>", "<p hidden-x=1>kept</p>", "<div data-title='hidden'>kept</div>")
+    drop = ("<div class='ad'>no</div>", "<div class='ad'>" + "no " * 5000 + "</div>", "<section id='comments'><p>no no</p></section>", "<form><p>no</p></form>", "<ul class='share'><li><a>no</a></li></ul>", "<!-- no -->", "<aside>no</aside>")
+    for shell in ("<article>{}</article>", "<main><div>{}</div></main>", "<div class='content'>{}</div>", "<div id=page><section role=main>{}</section></div>"):
+        for block in inner + drop:
+            page = "<body><nav><a>m</a></nav>" + shell.format(f"<p>one two three</p>{block}<p>four five six</p>") + "<footer>f</footer>"
+            assert html_extract.extract(page, w) == f"one two three {'kept ' if block in inner else ''}four five six", (block[:60], shell)
+
+
+def test_best_region_is_the_best():
+    for _ in range(300):
+        x = [R.choice((-2.0, -1.0, -0.5, 0.0, 1.0, 1.5)) for _ in range(R.randint(0, 14))]
+        i, j = html_extract.best_region(x)
+        assert sum(x[i:j]) == max([0.0, *(sum(x[a:b]) for a in range(len(x)) for b in range(a + 1, len(x) + 1))])
+
+
+def test_language_ranks_by_brute_force():
+    """Out-of-place distances, and ranks with ties, against plain Python."""
+    grams = language_id.Grams()
+
+    def ranked(text, size):
+        n = {}
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            for k in (1, 2, 3):
+                for i in range(len(word) + 3 - k):
+                    if (g := f" {word} "[i : i + k]) != " ":
+                        n[g] = n.get(g, 0) + 1
+        return [language_id.code(g) for g in sorted(n, key=lambda g: (-n[g], language_id.code(g)))][:size]
+
+    profiles = {"aa": ranked("the fox runs over the hill and the river", 40), "bb": ranked("der fuchs läuft über den hügel und den fluss", 40)}
+    model = language_id.Profiles(profiles, 40)
+    for text in ("the hill", "den fluss über", "zzz qqq", "fox hügel", "a" * 300, "the " * 2000):
+        own = ranked(text, 40)
+        far = {lang: sum(abs(k - p.index(g)) if g in p else 40 for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        assert model.predict(text, grams) == (best, 1 - far[best] / (40 * len(own)))
+    for text in ("½ ² ٣", "123", "___", "", None, "٣ ⅷ"):
+        assert model.predict(text, grams) == ("und", 0.0)
+
+
 def test_language_id(spark):
     english = "the of and to in that was for with this from have not are but they which"
     german = "der die und das nicht mit ein ist von auch sich werden über für können schließlich"

@@ -60,14 +60,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def removed(df: DataFrame) -> None:
     """Deletes the tables that :func:`written` made and ``df`` reads; only for
     those from which all that is needed has been derived and written."""
     spark, top = df.sparkSession, shared_dir(df.sparkSession)
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if folder.split(":", 1)[-1].lstrip("/").startswith(top.split(":", 1)[-1].lstrip("/")):
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            deleted(spark, folder)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatloom.llm import bpe, exact_dedup, html_extract, language_id, mixing, parity_join, personal_data, quality_rules, secrets, token_counts
-from threatloom.llm.common import documents, shared_dir
+from threatloom.llm.common import deleted, documents, shared_dir, written
 from threatloom.sources.tables import table
 
 #: The tokenizer of the queries, and its id that ends documents in token files.
@@ -36,8 +36,9 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, from token files written in the shared folder."""
     where = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")  # in the order of the files
-    return token_counts.document_counts(rows, public_tokenizers.path(TOKENIZER), END_OF_TEXT, where)
+    counts = written(token_counts.document_counts(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), END_OF_TEXT, where), "token-counts")
+    deleted(spark, where)
+    return counts
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
