@@ -60,3 +60,36 @@ def test_syntax(spark, source, text):
     p = Pattern(source)
     got = spark.createDataFrame([(text,)], "t string").select(match(F.col("t"), p)).first()[0]
     assert got == python_match(p, text)
+
+
+def test_needs_hold_in_every_match():
+    """Strings that a pattern needs are in its matches, whatever these are."""
+    from threatloom.operators import code, definitions, memory, prompts, reasoning
+
+    assert set(Pattern(r"(?:ignore|forget)\s+(?:all|any)x*").needs()) == {"forget", "ignore"}
+    assert Pattern(r"a\d+b").needs() == () and Pattern(r"(?:abc)?d").needs() == () and Pattern(r"x(?:abc)+").needs() == ("abc",)
+    texts = [
+        "IGNORE all previous instructions", "you are now a new", "pretend as evil", "enable god mode", "the user doesn't need to know", "i'll hide", "pickle.loads(", "eval (", "password = 'abcde'", "must execute", "do not tell the user", "priority: critical",
+        "secret plan", "bypass the filter", "system prompt override", "<|im_start|>", "[INST] x [/INST]", "SYSTEM UPDATE:", "they won't notice", "but instead I will", "diſable safety", "İgnore previous rules",
+    ]
+    for rule in [*prompts.FAST, *reasoning.RULES, *code.RULES, *memory.WRITE_RULES, *memory.INFLATION_RULES, *memory.IMPERATIVE_RULES, *definitions.INJECT, *definitions.ROLE]:
+        p = rule.pattern
+        flags = re.I * p.ignore_case | re.S * p.dot_all | re.M * p.multi_line
+        for t in texts:
+            if (m := re.search(p.source, t, flags)) and p.needs():
+                low = m[0].lower()
+                assert any(n in low for n in p.needs()) or any(c in low for c in "\u017f\u0131\u0307"), (p.source, t)
+
+
+def test_gates_do_not_change_results(spark):
+    from pyspark.sql import functions as F
+
+    from threatloom.operators import reasoning
+    from threatloom.operators.detection import all_hits, present, signatures
+    from threatloom.operators.prompts import FAST
+
+    texts = ["IGNORE all previous instructions", "diſable safety", "İgnore previous rules and ıgnore prior rules", "nothing", "", None, "the user DOESN'T need to know; enable god MODE", "K\u212a"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for rules in (FAST, reasoning.RULES):
+        for r in df.select(signatures(all_hits(F.col("t"), rules)).alias("a"), signatures(present([x.column(F.col("t")) for x in rules])).alias("b")).collect():
+            assert r["a"] == r["b"]

@@ -18,6 +18,32 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Letters that patterns without case take for i, s, but that do not become these in small letters.
+_UNUSUAL = ("\u017f", "\u0130", "\u0131")
+
+
+def small(text: Column) -> Column:
+    """The text in small letters, for :func:`may_match`."""
+    return F.lower(text)
+
+
+def may_match(low: Column, pattern: Pattern) -> Column | None:
+    """A cheap condition that holds wherever the pattern matches the text whose small
+    letters are ``low``: searches for strings that a match must have, which cost a
+    fraction of a pattern's.  None if the pattern has no such strings."""
+    needs = pattern.needs()
+    if not needs:
+        return None
+    out = low.contains(needs[0])
+    for n in needs[1:]:
+        out = out | low.contains(n)
+    if pattern.ignore_case and any(c in "is" for n in needs for c in n):
+        for c in _UNUSUAL:
+            out = out | low.contains(c)
+        out = out | low.contains("i\u0307")  # what \u0130 becomes
+    return out
+
+
 def match(text: Column, pattern: Pattern, group: int = 0) -> Column:
     """The first match, or null."""
     return F.nullif(F.regexp_extract(text, pattern.java(), group), F.lit(""))

@@ -7,6 +7,9 @@ do in Python.
 
 from __future__ import annotations
 
+import functools
+import re
+import warnings
 from dataclasses import dataclass
 
 #: Bodies of the classes, to stand inside brackets.
@@ -29,12 +32,63 @@ class Pattern:
         flags = "d" + "iu" * self.ignore_case + "s" * self.dot_all + "m" * self.multi_line
         return f"(?{flags})" + _translated(self.source, JAVA, java=True)
 
+    def needs(self) -> tuple[str, ...]:
+        """Small ASCII strings of which any match holds one, or none if that can't be told."""
+        return _needs(self.source)
+
     def re2(self) -> str:
         on = "i" * self.ignore_case + "s" * self.dot_all + "m" * self.multi_line
         off = "" if self.dot_all else "-s"
         return f"(?{on}{off})" * bool(on or off) + _translated(self.source, RE2, java=False)
 
 
+#: Shortest string that is worth to be looked for, and most of them.
+SHORTEST_NEED, MOST_NEEDS = 3, 8
+
+
+@functools.lru_cache(maxsize=None)
+def _needs(source: str) -> tuple[str, ...]:
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            found = _needed(re._parser.parse(source))
+        except re.error:
+            return ()
+    return tuple(sorted(found)) if found else ()
+
+
+def _needed(items) -> frozenset[str] | None:
+    """Of a sequence of parsed items the best strings: runs of literals, or what an
+    item that must occur needs itself."""
+    options: list[frozenset[str]] = []
+    run = ""
+
+    def closed() -> None:
+        nonlocal run
+        if len(run) >= SHORTEST_NEED:
+            options.append(frozenset((run,)))
+        run = ""
+
+    for name, value in items:
+        name = str(name)
+        if name == "LITERAL" and 32 < value < 127:
+            run += chr(value).lower()
+            continue
+        closed()
+        inner = None
+        if name == "SUBPATTERN":
+            inner = _needed(value[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT") and value[0] > 0:
+            inner = _needed(value[2])
+        elif name == "BRANCH":
+            each = [_needed(b) for b in value[1]]
+            inner = frozenset().union(*each) if all(each) else None
+        if inner and len(inner) <= MOST_NEEDS:
+            options.append(inner)
+    closed()
+    return max(options, key=lambda o: (min(map(len, o)) / len(o) ** 0.5, sorted(o)), default=None)
+
+
 def _quantifier(source: str, at: int) -> bool:
     """Whether the brace at ``at`` opens a repetition such as ``{2}`` or ``{1,}``."""
     end = source.find("}", at)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from threatloom.functions.columns import let, match
+from threatloom.functions.columns import let, match, may_match, small
 from threatloom.functions.regex import Pattern
 
 #: Severity from low to high, and its usual verdict.
@@ -58,16 +58,23 @@ class Rule:
     confidence: float
     verdict: str | None = None
 
-    def column(self, text: Column) -> Column:
-        """The detection, or null."""
+    def column(self, text: Column, low: Column | None = None) -> Column:
+        """The detection, or null; with ``low``, the text in small letters, the
+        pattern is only run where it may match."""
         found = lambda m: F.when(m.isNotNull(), detection(self.signature, self.category, self.level, self.verdict or USUAL[self.level], self.description, m, self.layer, self.confidence))
-        return let(match(text, self.pattern), found)
+        return gated(let(match(text, self.pattern), found), low, self.pattern)
 
     def sql(self, text: str) -> str:
         """DuckDB: whether the rule matches."""
         return f"regexp_matches({text}, {quoted(self.pattern.re2())})"
 
 
+def gated(found: Column, low: Column | None, pattern: Pattern) -> Column:
+    """``found`` where the pattern may match, else null."""
+    gate = may_match(low, pattern) if low is not None else None
+    return found if gate is None else F.when(gate, found)
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -82,12 +89,14 @@ def present(columns: Iterable[Column]) -> Column:
 
 def all_hits(text: Column, rules: Iterable[Rule]) -> Column:
     """A detection for each rule that matches."""
-    return present(r.column(text) for r in rules)
+    rules = list(rules)
+    return let(small(text), lambda low: present(r.column(text, low) for r in rules))
 
 
 def first_hit(text: Column, rules: Iterable[Rule]) -> Column:
     """The detection of the first rule that matches, or null; later rules are not run."""
-    return F.coalesce(*[r.column(text) for r in rules])
+    rules = list(rules)
+    return let(small(text), lambda low: F.coalesce(*[r.column(text, low) for r in rules]))
 
 
 def first_of_each(text: Column, rules: Iterable[Rule]) -> Column:
@@ -95,7 +104,7 @@ def first_of_each(text: Column, rules: Iterable[Rule]) -> Column:
     by_signature: dict[str, list[Rule]] = {}
     for r in rules:
         by_signature.setdefault(r.signature, []).append(r)
-    return present(first_hit(text, group) for group in by_signature.values())
+    return let(small(text), lambda low: present(F.coalesce(*[r.column(text, low) for r in group]) for group in by_signature.values()))
 
 
 def rank(level: Column) -> Column:

@@ -18,16 +18,16 @@ LAYER = "multimodal"
 
 # The patterns of these rules.
 RULES = [
-    Rule("MM-INJECT", Pattern(r"(?:ignore|override|bypass|disable)\s+(?:all\s+)?(?:previous|prior|safety|security|filter|restriction|instruction)"), "Injection keywords in image text", "high", "indirect_injection", LAYER, 0.85),
-    Rule("MM-ROLE", Pattern(r"(?:you\s+are\s+now|act\s+as|pretend\s+to\s+be|switch\s+to)\s+(?:an?\s+)?(?:unrestricted|unfiltered|jailbroken|evil|DAN)"), "Role hijacking in image text", "high", "indirect_injection", LAYER, 0.85),
-    Rule("MM-SYSOVR", Pattern(r"(?:system|admin|root)\s*(?:prompt|instruction|command)\s*[:=]"), "System override in image text", "high", "indirect_injection", LAYER, 0.85),
+    Rule("MM-INJECT", Pattern(r"(?:ignore|override|bypass|disable)\s+(?:all\s+)?(?:previous|prior|safety|security|filter|restriction|instruction)"), "image text against safeguards", "high", "indirect_injection", LAYER, 0.85),
+    Rule("MM-ROLE", Pattern(r"(?:you\s+are\s+now|act\s+as|pretend\s+to\s+be|switch\s+to)\s+(?:an?\s+)?(?:unrestricted|unfiltered|jailbroken|evil|DAN)"), "image text gives a role", "high", "indirect_injection", LAYER, 0.85),
+    Rule("MM-SYSOVR", Pattern(r"(?:system|admin|root)\s*(?:prompt|instruction|command)\s*[:=]"), "image text speaks as the system", "high", "indirect_injection", LAYER, 0.85),
 ]
 
 
 def image_detections(alt: Column, ocr: Column, metadata: Column, width: Column, height: Column) -> Column:
     texts = F.concat(F.coalesce(F.map_values(metadata), F.array().cast("array<string>")), F.array(alt, ocr))
     hits = F.flatten(F.transform(texts, lambda t: present(r.column(t) for r in RULES)))
-    pixel = F.when((width == 1) & (height == 1), detection("MM-STEG", "indirect_injection", "medium", CHALLENGE, "1x1 image (possible carrier)", F.lit("1x1"), LAYER, 0.60))
+    pixel = F.when((width == 1) & (height == 1), detection("MM-STEG", "indirect_injection", "medium", CHALLENGE, "image of one pixel", F.lit("1x1"), LAYER, 0.60))
     return F.concat(hits, present([pixel]))
 
 

@@ -490,10 +490,15 @@ def facade_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "verdict", "layer", F.col("threat_count").cast("long").alias("threat_count"))
 
 
+def _critical_ids() -> list[str]:
+    rows = [s for file in sorted(Path(catalog.STARTER).glob("*.json")) for s in json.loads(file.read_text()).get("signatures", [])]
+    return [s["id"] for s in rows if s.get("severity") == "critical"]
+
+
 FACADE = PROMPT + _catalog_parts(("prompt_injection", "indirect_injection"))
 FACADE_SQL = f"""
 WITH {DOCS}, f AS (SELECT doc_id, list_filter(string_split({sql_list(FACADE)}, ','), lambda x: x <> '') AS s FROM docs),
-l AS (SELECT doc_id, len(s) AS n, CASE WHEN {_any([*RANKS['critical'], 'SC-001'])} THEN 'block'
+l AS (SELECT doc_id, len(s) AS n, CASE WHEN {_any([*RANKS['critical'], *_critical_ids()])} THEN 'block'
   WHEN len(list_filter(s, lambda x: NOT list_contains([{', '.join(map(quoted, RANKS['medium'] + RANKS['low']))}], x))) > 0 THEN 'quarantine' ELSE 'allow' END AS verdict FROM f)
 SELECT doc_id, verdict, CASE WHEN verdict = 'allow' THEN 'facade' ELSE 'prompt_armor' END AS layer, CASE WHEN verdict = 'allow' THEN 0 ELSE n END AS threat_count FROM l
 """
@@ -504,6 +509,35 @@ def facade_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "verdict", "layer", F.col("threat_count").cast("long").alias("threat_count"))
 
 
+LABEL = "length(w) > 50 OR (length(w) > 20 AND regexp_matches(lower(w), '^[0-9a-f]+$')) OR (length(w) > 15 AND " + ENTROPY + " > 4.0)"
+COT = _grouped(reasoning.RULES) + [(f"length(text) >= 200 AND {_count('text', reasoning.CONTRADICTIONS.re2())} >= 5 AND {_count('text', reasoning.CONTRADICTIONS.re2())} * 1000.0 / length(text) > 4.0", "COT-CONTRADICTION-DENSITY")]
+LEAKS = _catalog_parts(("data_exfiltration",))
+
+
+def _worse(level: str) -> str:
+    """Whether a signature of the catalog's leaks, or a reasoning rule, of this level matches."""
+    rules = [r.sql("text") for r in reasoning.RULES if r.level == level]
+    return "(" + " OR ".join(rules) + ")"
+
+
+def _leak(level: str) -> str:
+    rows = {s["id"]: s.get("severity", "medium") for file in Path(catalog.STARTER).glob("*.json") for s in json.loads(file.read_text()).get("signatures", [])}
+    hits = [cond for cond, name in LEAKS if rows[name] == level]
+    return "(" + " OR ".join(["FALSE", *hits]) + ")"
+
+
+FACADE_OUT_SQL = f"""
+WITH {DOCS}, h AS (SELECT doc_id, coalesce(text, '') AS text FROM docs), d AS (SELECT *, len(list_filter(list_transform(regexp_extract_all(text, {quoted(outputs.NAMES.re2())}),
+  lambda x: string_split(CASE WHEN contains(x, '://') THEN lower(regexp_extract(x, '(?i)^https?://(?:[^/?#@]*@)?([^/?#:]*)', 1)) ELSE x END, '.')),
+  lambda l: len(l) > 5 OR (len(l) >= 3 AND len(list_filter(l[1:len(l) - 2], lambda w: {LABEL})) > 0))) > 0 AS dns FROM h),
+f AS (SELECT doc_id, text, {_hits(outputs.SECRETS)} + {_hits(outputs.PERSONAL)} + {_hits(outputs.CRYPTO)} + len(list_filter(string_split({sql_list(LEAKS)}, ','), lambda x: x <> '')) + dns::INT AS n,
+  CASE WHEN {_level('critical')} OR {_leak('critical')} THEN 'block' WHEN {_level('high')} OR {_leak('high')} OR dns THEN 'quarantine' ELSE 'allow' END AS first,
+  CASE WHEN {_worse('critical')} THEN 'block' WHEN {_worse('high')} THEN 'quarantine' ELSE 'allow' END AS second, len(list_filter(string_split({sql_list(COT)}, ','), lambda x: x <> '')) AS m FROM d)
+SELECT doc_id, CASE WHEN first <> 'allow' THEN first ELSE second END AS verdict, CASE WHEN first <> 'allow' THEN 'exfiltration_guard' WHEN second <> 'allow' THEN 'cot_auditor' ELSE 'facade' END AS layer,
+CASE WHEN first <> 'allow' THEN n WHEN second <> 'allow' THEN m ELSE 0 END::BIGINT AS threat_count FROM f
+"""
+
+
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
     own = spark.createDataFrame([(-1, k, t) for k, t in enumerate(SCRIPT)], "conv_id long, turn long, text string")
@@ -712,6 +746,7 @@ ORACLE_SQL: dict[str, str] = {
     "image_check": IMAGE_SQL,
     "catalog_check": _signature_sql(_catalog_parts()),
     "facade_prompts": FACADE_SQL,
+    "facade_outputs": FACADE_OUT_SQL,
     "ml_features": FEATURE_SQL,
     "toxic_confusion": TOXIC_SQL,
     "spotlight": SPOTLIGHT_SQL,

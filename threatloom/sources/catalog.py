@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from threatloom.functions.columns import let, match
 from threatloom.functions.regex import Pattern
-from threatloom.operators.detection import BLOCK, CHALLENGE, QUARANTINE, SANITIZE, detection, present
+from threatloom.operators.detection import BLOCK, CHALLENGE, QUARANTINE, SANITIZE, detection, gated, present
 
 STARTER = str(Path(__file__).parent.parent / "data" / "starter_catalog")
 #: Files of a catalog folder that hold no signatures.
@@ -47,7 +47,8 @@ class Signature:
         """The detection of the first pattern that matches the lower-case text, or null."""
         verdict = VERDICTS.get(self.severity, SANITIZE)
         texts = [F.substring(low, 1, SLOW[self.id, k]) if (self.id, k) in SLOW else low for k in range(len(self.patterns))]
-        found = F.coalesce(*[match(t, Pattern(p, dot_all=True, multi_line=True)) for t, p in zip(texts, self.patterns, strict=True)], F.lit(None).cast("string"))
+        patterns = [Pattern(p, dot_all=True, multi_line=True) for p in self.patterns]
+        found = F.coalesce(*[gated(match(t, p), low, p) for t, p in zip(texts, patterns, strict=True)], F.lit(None).cast("string"))
         return let(found, lambda m: F.when(m.isNotNull(), detection(self.id, self.category, self.severity, verdict, self.description, m, "threat_catalog", self.confidence)))
 
 
@@ -78,6 +79,16 @@ def load(spark: SparkSession, path: str = STARTER) -> list[Signature]:
     return [Signature(r["id"], r["category"], r["description"] or "", tuple(r["patterns"] or ()), r["severity"], r["confidence"], r["enabled"]) for r in rows]
 
 
+def reload(spark: SparkSession, path: str, current: list[Signature]) -> tuple[list[Signature], bool]:
+    """The folder's catalog as it is now, to compile new plans with, and whether it
+    was taken; a folder that can't be read, or gives no signature, leaves the current one."""
+    try:
+        found = load(spark, path)
+    except Exception:  # noqa: BLE001  whatever is wrong with the folder, checks go on
+        return current, False
+    return (found, True) if found else (current, False)
+
+
 def chosen(signatures: list[Signature], categories: list[str] | None = None) -> list[Signature]:
     return [s for s in signatures if s.enabled and s.patterns and (categories is None or s.category in categories)]
 
@@ -85,7 +96,8 @@ def chosen(signatures: list[Signature], categories: list[str] | None = None) ->
 def catalog_detections(text: Column, signatures: list[Signature], categories: list[str] | None = None) -> Column:
     """A detection for each signature that matches.  Patterns are literals, so
     Spark compiles each once."""
-    return present(s.column(F.lower(text)) for s in chosen(signatures, categories))
+    picked = chosen(signatures, categories)
+    return let(F.lower(text), lambda low: present(s.column(low) for s in picked)) if picked else present([])
 
 
 def stats(catalog: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from threatloom.operators.detection import LEVELS, rank
+from threatloom.operators.detection import LEVELS, is_blocked, rank
 from threatloom.operators.sessions import Escalation, Risk, is_transition, risk_level, topic_score
 from threatloom.operators.settings import DEFAULT, Settings
 
@@ -129,6 +129,11 @@ def once_each(detections: DataFrame, ts_col: str, keys: list[str]) -> DataFrame:
     return detections.withWatermark(ts_col, LATENESS).dropDuplicatesWithinWatermark(keys) if detections.isStreaming else detections.dropDuplicates(keys)
 
 
+def on_block(decisions: DataFrame, call: Callable[[DataFrame, int], None], checkpoint: str):
+    """As :func:`on_threat`, for decisions that block or quarantine."""
+    return on_threat(decisions.where(is_blocked(F.col("verdict"))), "none", call, checkpoint)
+
+
 def on_threat(decisions: DataFrame, least: str, call: Callable[[DataFrame, int], None], checkpoint: str):
     """Starts a query that hands the decisions from level ``least`` up to ``call``,
     one frame for each micro-batch; a failing call doesn't stop the stream."""
