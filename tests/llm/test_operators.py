@@ -3,6 +3,7 @@
 import hashlib
 import html as htmllib
 import itertools
+import math
 import random
 import re
 
@@ -403,6 +404,99 @@ def test_quality_rules(spark):
     assert all(r["kept"] != r["base_failed"] for r in none)
 
 
+def brute_rules(rows, cuts, most_rules, most_conditions):
+    """Sequential covering on the rows themselves: bad, whether they prune, values."""
+    rules, left = [], rows
+    while len(rules) < most_rules:
+        grown, scores, inside = [], [], left
+        for _ in range(most_conditions):
+            bad, good = (sum(b == want and not prune for b, prune, _ in inside) for want in (1, 0))
+            if not bad or not good:
+                break
+            options = []
+            for f, of in enumerate(cuts):
+                for k, t in enumerate(of):
+                    for above in (True, False):
+                        p, n = (sum(b == want and not prune and (x[f] >= t) == above for b, prune, x in inside) for want in (1, 0))
+                        options.append((p * (math.log2(p / (p + n)) - math.log2(bad / (bad + good))) if p else 0.0, (f, k, above)))
+            gain, (f, k, above) = max(options)
+            if gain <= 1e-9:
+                break
+            grown.append((f, above, cuts[f][k]))
+            inside = [r for r in inside if (r[2][f] >= cuts[f][k]) == above]
+            p, n = (sum(b == want and prune for b, prune, _ in inside) for want in (1, 0))
+            scores.append(((p - n) / (p + n) if p + n else -1.0, p, p / (p + n) if p + n else 0.0))
+        if not grown:
+            break
+        best = max(range(len(grown)), key=lambda k: (scores[k][0], -k))
+        if scores[best][2] < quality_rules.LEAST_PRECISION or scores[best][1] < quality_rules.LEAST_COVERED:
+            break
+        rule = grown[: best + 1]
+        rules.append(rule)
+        left = [r for r in left if not all((r[2][f] >= t) == above for f, above, t in rule)]
+    return rules
+
+
+def test_quality_learner_by_brute_force(spark):
+    r = random.Random(21)
+    texts, bad = [], []
+    for k in range(400):
+        words = [r.choice(WORDS) + str(r.randrange(300)) for _ in range(r.randint(25, 80))]
+        kind = k % 4
+        if kind == 1:
+            words = [w + "#$" if r.random() < 0.4 else w for w in words]
+        elif kind == 2:
+            words = [w.upper() + "!" if r.random() < 0.5 else w for w in words]
+        texts.append(" ".join(words))
+        bad.append(int(kind in (1, 2)) if r.random() < 0.95 else r.randint(0, 1))
+    stats = quality_rules.statistics(table(spark, texts), "doc_id", "text")
+    labels = spark.createDataFrame(list(enumerate(bad)), "_id long, _bad int")
+    part = F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(3)) == 0
+    seen = stats.where(~quality_rules.base_failed()).join(labels, "_id").select("_bad", part, *[f().alias(k) for k, f in quality_rules.FEATURES.items()])
+    rows = [(x[0], x[1], x[2:]) for x in seen.collect()]
+    got = seen.agg(*[F.percentile_approx(k, quality_rules.QUANTILES, 10_000) for k in quality_rules.FEATURES]).first()
+    names, cuts = list(quality_rules.FEATURES), [sorted(set(x)) for x in got]
+    for bounds in ((12, 4), (1, 1)):
+        want = [tuple(quality_rules.Condition(names[f], above, t) for f, above, t in rule) for rule in brute_rules(rows, cuts, *bounds)]
+        assert quality_rules.learn(stats, labels, *bounds) == want and 0 < len(want) <= bounds[0]
+
+
+def test_quality_of_odd_rows(spark):
+    """Repeated rows, null ids and a very long text."""
+    long = "word " * 20_000
+    df = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (2, long), (3, None)], "doc_id long, text string")
+    none = spark.createDataFrame([], "_id long, _bad int")
+    got = sorted(((r["doc_id"] or -1), r["n_words"], r["n_repeat_words"], r["kept"]) for r in quality_rules.apply_rules(df, none).collect())
+    assert got == [(-1, 2, 0, False), (1, 2, 0, False), (1, 2, 0, False), (2, 20_000, 20_000, False), (3, 0, 0, False)]
+    assert quality_rules.apply_rules(df.limit(0), none).count() == 0
+
+
+def test_row_operators_on_odd_rows(spark):
+    """Empty tables; repeated rows and null ids have the same results as others."""
+    noise = "".join(R.choice(secrets.ALPHABETS["base62"]) for _ in range(60))
+    text = f"the fox wrote to a.b@example.org and +49 30 1234567, key {noise} ok"
+    rows = [(None, text, "en"), (None, text, "en"), (5, text, "en"), (5, text, "en"), (6, text + " x" * 50_000, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for operator in (secrets.digest, personal_data.digest, language_id.identify, lambda x: bpe.round_trip(x, PATH)):
+        got = [r.asDict() for r in operator(df).collect()]
+        assert sorted(r["doc_id"] or -1 for r in got) == [-1, -1, 5, 5, 6]
+        same = {tuple(v for k, v in r.items() if k not in ("doc_id", "held_out")) for r in got if r["doc_id"] != 6}
+        assert len(same) == 1
+        assert operator(df.limit(0)).count() == 0
+    assert language_id.drop_unknown(df.limit(0)).count() == 0
+    page = "<body><nav><a>m</a></nav><article><p>one two</p>" + "<p>three four five</p>" * 20_000 + "</article></body>"
+    pages = spark.createDataFrame([(None, "u", page), (1, "u", page), (1, "u", page)], "page_id long, url string, html string")
+    got = html_extract.main_text(pages).collect()
+    assert len(got) == 3 and {r["text"] for r in got} == {"one two" + " three four five" * 20_000}
+    assert html_extract.main_text(pages.limit(0)).count() == 0
+
+
+def test_language_ties_go_to_the_first():
+    same = [language_id.code(g) for g in ("a", "b", "ab")]
+    model = language_id.Profiles({"zz": same, "mm": same, "pp": same}, 40)
+    assert model.predict("ab", language_id.Grams())[0] == "mm"
+
+
 def test_html(spark):
     w = html_extract.weights()
     pages = html_extract.labelled_pages(120, seed=99)

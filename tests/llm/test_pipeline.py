@@ -49,3 +49,17 @@ def test_stages(spark, tmp_path):
     library = Library.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for x in docs.collect():
         assert x["n_tokens"] == len(library.encode(text[x["doc_id"]], add_special_tokens=False).ids)
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """No rows; null ids, repeated rows, ties and a very long text."""
+    empty = spark.createDataFrame([], DOCS)
+    empty.write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    r = random.Random(2)
+    words = "the of and to in that was for with this from have not are but they which".split()
+    rows = [(k, " ".join(r.choices(words, k=80)), "en", "a", 0) for k in range(40)]
+    rows += [rows[3], rows[3], (None, " ".join(r.choices(words, k=80)), "en", None, 0), (90, " ".join(r.choices(words, k=40_000)), "en", "b", None), (91, "", None, "b", 0)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    got = [x["doc_id"] for x in corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()]
+    assert set(got) <= {*range(40), None, 90} and got.count(3) <= 2 and len(got) >= 40

@@ -32,7 +32,7 @@ from threatloom.llm.common import WORD_RX, cut, let
 WINDOW = 8
 #: Quantiles of each statistic that serve as thresholds.
 QUANTILES = [0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95, 0.98, 0.99]
-#: Conditions of a rule, rules of the list.
+#: Bounds of the list, by default: conditions of a rule, and rules.  Learning ends there.
 MOST_CONDITIONS, MOST_RULES = 4, 12
 #: A rule is kept if so many of the pruning rows it covers are bad, and it covers so many of them.
 LEAST_PRECISION, LEAST_COVERED = 0.9, 5
@@ -133,8 +133,9 @@ def _gain(p: int, n: int, p0: int, n0: int) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
 
 
-def learn(stats: DataFrame, labels: DataFrame) -> list[Rule]:
-    """Rules for bad rows.  ``labels`` has ``_id`` and ``_bad`` (0 or 1)."""
+def learn(stats: DataFrame, labels: DataFrame, most_rules: int = MOST_RULES, most_conditions: int = MOST_CONDITIONS) -> list[Rule]:
+    """Rules for bad rows: ``most_rules`` of ``most_conditions`` conditions each at
+    most.  ``labels`` has ``_id`` and ``_bad`` (0 or 1)."""
     one = labels.where("_id IS NOT NULL AND _bad IS NOT NULL").groupBy("_id").agg(F.min("_bad").alias("_bad"), F.max("_bad").alias("_other")).where("_bad = _other")
     rows = stats.where(~base_failed()).join(one, "_id").select("_id", "_bad", *[f().alias(k) for k, f in FEATURES.items()])
     rows = cut(rows)
@@ -164,12 +165,12 @@ def learn(stats: DataFrame, labels: DataFrame) -> list[Rule]:
 
     rules: list[Rule] = []
     active = F.lit(True)
-    while len(rules) < MOST_RULES:
+    while len(rules) < most_rules:
         h = histogram(active)
         chosen: list[tuple[int, int, bool]] = []
         scores: list[tuple[float, int, float]] = []  # of each prefix on the pruning part
         inside = active
-        while len(chosen) < MOST_CONDITIONS:
+        while len(chosen) < most_conditions:
             p0, n0 = counts(h, None, False)
             if not p0 or not n0:
                 break
@@ -193,11 +194,11 @@ def learn(stats: DataFrame, labels: DataFrame) -> list[Rule]:
     return rules
 
 
-def apply_rules(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def apply_rules(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rules: int = MOST_RULES, most_conditions: int = MOST_CONDITIONS) -> DataFrame:
     """``<id_col>, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept`` for each row; the list is learned from ``labels``."""
     stats = cut(statistics(df, id_col, text_col))
-    rules = learn(stats, labels)
+    rules = learn(stats, labels, most_rules, most_conditions)
     return stats.select(
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"),
