@@ -1,6 +1,5 @@
 """Image checks over what is known of an image: alternative text, recognised
-text, metadata and size.  Files themselves are not opened: a reader of pixels or
-embedded metadata can put what it finds into ``metadata``, ``width``, ``height``.
+text, metadata and size.  ``threatloom.sources.images`` reads metadata and sizes of files.
 
 Null texts, metadata and sizes are not checked.
 """
@@ -31,10 +30,17 @@ def image_detections(alt: Column, ocr: Column, metadata: Column, width: Column,
     return F.concat(hits, present([pixel]))
 
 
-def check_images(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """``df`` (``alt_text, ocr_text, metadata, width, height``) with the columns of a decision."""
-    found = df.withColumn("detections", image_detections(*map(F.col, ("alt_text", "ocr_text", "metadata", "width", "height"))))
+def check_images(df: DataFrame, settings: Settings = DEFAULT, unreadable: Column | None = None) -> DataFrame:
+    """``df`` (``alt_text, ocr_text, metadata, width, height``) with the columns of a
+    decision.  Where ``unreadable`` holds, a file could not be looked into: that
+    alone is the answer, a challenge.  Without it such files pass as if empty."""
+    seen = image_detections(*map(F.col, ("alt_text", "ocr_text", "metadata", "width", "height")))
+    if unreadable is not None:
+        degraded = F.array(detection("MM-DEGRADE", "indirect_injection", "medium", CHALLENGE, "image file that can't be read", F.lit(""), LAYER, 0.5))
+        seen = F.when(F.coalesce(unreadable, F.lit(False)), degraded).otherwise(seen)
+    found = df.withColumn("detections", seen)
     level = worst_level(F.col("detections"))
     high = (level == "critical") if settings.ordinal else level >= "critical"
-    call = F.when(F.size("detections") == 0, "allow").when(high, BLOCK).otherwise(QUARANTINE)
+    closed = F.exists("detections", lambda d: d["signature_id"] == "MM-DEGRADE")
+    call = F.when(F.size("detections") == 0, "allow").when(closed, CHALLENGE).when(high, BLOCK).otherwise(QUARANTINE)
     return found.select(*df.columns, *decided(F.col("detections"), call))

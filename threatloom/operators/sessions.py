@@ -213,4 +213,4 @@ def decided_anomaly(folded_events: DataFrame, settings: Settings = DEFAULT) -> D
 def crescendo_detections(level: Column, cumulative: Column) -> Column:
     """The escalation fold's level as a detection of its message."""
     call = F.when(level == "high", QUARANTINE).otherwise(CHALLENGE)
-    return present([F.when(level.isNotNull(), detection("PA-CRESCENDO", "prompt_injection", level, call, "conversation works its way up to a topic", F.format_string("%.1f", cumulative), "prompt_armor", 0.80))])
+    return present([F.when(level.isNotNull(), detection("PA-CRESCENDO", "prompt_injection", level, call, "conversation works its way up to a topic", F.format_string("%.1f", cumulative), "prompt_armor", F.when(level == "high", 0.82).otherwise(0.70)))])

@@ -53,10 +53,11 @@ def check_requests(df: DataFrame, settings: Settings = DEFAULT, agent_col: str |
     return requests.check_requests(df, settings, agent_col, instance_col).withColumn("layer", F.lit(requests.LAYER))
 
 
-def check_tool_calls(df: DataFrame, policy: DataFrame, signatures: list[Signature], settings: Settings = DEFAULT) -> DataFrame:
-    """Calls with ``params``; the catalog reads their values, joined by spaces."""
+def check_tool_calls(df: DataFrame, policy: DataFrame, signatures: list[Signature], settings: Settings = DEFAULT, real_path_col: str | None = None) -> DataFrame:
+    """Calls with ``params``; the catalog reads their values, joined by spaces.
+    ``real_path_col`` names where a call's path leads, if the host resolved it."""
     found = catalog_detections(F.coalesce(F.array_join(F.map_values("params"), " "), F.lit("")), signatures, ["tool_exploitation"])
-    return masked(tools.check_tool_calls(df, policy, settings, found), tools.LAYER)
+    return masked(tools.check_tool_calls(df, policy, settings, found, real_path_col), tools.LAYER)
 
 
 def check_memory_writes(df: DataFrame, signatures: list[Signature], settings: Settings = DEFAULT, **columns: str) -> DataFrame:

@@ -641,6 +641,22 @@ def tool_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCHEMA_SQL = f"WITH {DOCS} SELECT doc_id, {sql_list([('doc_id % 2 <> 0', 'MCP-SCHEMA'), ('doc_id % 2 <> 0', 'MCP-SCHEMA'), ('length(text) >= 10 AND ' + sql_first(definitions.INJECT_PARAM, 'text'), 'MCP-INJECT-PARAM')])} AS signatures FROM docs"
 
 
+def tool_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions made of the parts, each against the sum registered for its name:
+    that of the same JSON in another order, or for every 5th of other JSON."""
+    p = table(spark, sf_dir, "part").select(F.concat(F.lit("tool_"), "p_partkey").alias("name"), F.col("p_size").cast("string").alias("n"), (F.col("p_partkey") % 5 == 0).alias("odd"))
+    defs = p.select(F.lit("now").alias("server_id"), "name", F.concat(F.lit('{"title":"'), "name", F.lit('", "args": {"z": 1,"a":'), "n", F.lit("}}")).alias("definition"))
+    kept = F.concat(F.lit('{"args": {"a": '), F.when(F.col("odd"), "0").otherwise(F.col("n")), F.lit(', "z": 1}, "title": "'), "name", F.lit('"}'))
+    out = definitions.changed_definitions(defs, p.select(F.lit("then").alias("server_id"), "name", F.sha2(kept, 256).alias("fingerprint")))
+    return out.select("name", "registered", "fingerprint", "registered_server", detection.signatures(F.col("detections")).alias("signatures"))
+
+
+INTEGRITY_SQL = """
+WITH p AS (SELECT 'tool_' || p_partkey AS name, p_size::VARCHAR AS n FROM part WHERE p_partkey % 5 = 0 AND p_size <> 0)
+SELECT name, sha256('{"args": {"a": 0, "z": 1}, "title": "' || name || '"}') AS registered, sha256('{"args": {"a": ' || n || ', "z": 1}, "title": "' || name || '"}') AS fingerprint, 'then' AS registered_server, 'MCP-INTEGRITY' AS signatures FROM p
+"""
+
+
 def toxic_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trained tier's figures on the labelled documents."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").cast("int").alias("label"))
@@ -708,6 +724,7 @@ QUERIES: dict[str, Query] = {
     "memory_recalls": memory_recalls,
     "canary_leaks": canary_leaks,
     "tool_schemas": tool_schemas,
+    "tool_integrity": tool_integrity,
     "stream_documents": stream_documents,
 }
 
@@ -731,6 +748,7 @@ ORACLE_SQL: dict[str, str] = {
     "memory_recalls": RECALL_SQL,
     "canary_leaks": CANARY_SQL,
     "tool_schemas": SCHEMA_SQL,
+    "tool_integrity": INTEGRITY_SQL,
     "egress_domains": EGRESS_SQL,
     "memory_documents": DOCUMENT_SQL,
     "memory_rates": MEMORY_SQL,
