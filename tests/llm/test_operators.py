@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Library
 
-from threatloom.llm import bpe, exact_dedup, html_extract, language_id, mixing, parity_join, personal_data, quality_rules, queries, secrets, token_counts
+from threatloom.llm import bpe, components, exact_dedup, html_extract, language_id, mixing, parity_join, personal_data, quality_rules, queries, secrets, token_counts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _d int, _id int, kept string"
@@ -114,6 +114,18 @@ def test_jaccard_of_split_bins(spark, monkeypatch):
     assert len({c for _, c in got.values()}) > 3
 
 
+def test_joined_components(spark, monkeypatch):
+    """Later links give the components of all links; many between two components count once."""
+    first = [(k, k + 1) for k in range(1, 20)] + [(k, k + 1) for k in range(101, 120)]
+    later = [(a, b) for a in range(1, 21) for b in range(101, 121)] + [(0, 110), (50, 51)]
+    first, later = (spark.createDataFrame(x, "a long, b long") for x in (first, later))
+    found, plain, seen = components.components(first), components.components, []
+    monkeypatch.setattr(components, "components", lambda links: seen.append(links.count()) or plain(links))
+    got = {x["node"]: x["component"] for x in components.joined(found, later).collect()}
+    assert got == {k: 0 for k in (*range(21), *range(101, 121))} | {50: 50, 51: 50}
+    assert seen == [3]
+
+
 def test_jaccard_odd_tables(spark):
     df = spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "A B C D")], "doc_id long, text string")
     got = sorted(((r["doc_id"] or -1), r["component_id"]) for r in parity_join.jaccard_classes(df, 3, 9, 10).collect())

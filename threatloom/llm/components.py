@@ -23,3 +23,16 @@ def components(links: DataFrame) -> DataFrame:
         labels = nxt.drop("old")
         if nxt.where("old <> component").isEmpty():
             return labels
+
+
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` (of :func:`components`) after further ``links``.  Only pairs of
+    components are worked off, each once, however many links are between the two."""
+    label = found.select(F.col("node"), F.col("component").alias("label"))
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(label.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+    tops = components(cut(ends.where("a <> b").select("a", "b").distinct()))
+    moved = found.join(tops.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+    alone = tops.join(found.select("node"), "node", "left_anti")
+    return cut(moved.select("node", F.coalesce("top", "component").alias("component")).unionByName(alone.select("node", "component")))

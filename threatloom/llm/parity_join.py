@@ -16,9 +16,12 @@ distance of two sketches is at most the symmetric difference of the sets.
    worked off in ``ROUNDS`` parts, so shuffle files take a part of their space.
 4. In every bucket (sets with the same key) all are compared with one hub:
    folded sketches first, and where these allow a link the sets themselves.
-   Most links of a group of near copies then exist already; components are
-   built, and only pairs from different components of one bucket are verified
-   in addition.  Passed over without being emitted are pairs whose sketches differ
+   Most links of a group of near copies then exist already, and components are
+   built.  While the pairs left are many for each set, hubs are drawn anew in
+   each bin of a bucket, and those of other components compared with these: a
+   few comparisons for each set, by which the components of a group join.
+5. Only pairs from components that still differ in one bucket are verified
+   in addition, and links between two components count once.  Passed over without being emitted are pairs whose sketches differ
    in more bits than those of linked sets can, directly or by the difference of
    their distances to the hub (the Hamming distance is a metric).
 
@@ -44,7 +47,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threatloom.llm.common import cut, removed, slices, small_batches, written
-from threatloom.llm.components import components
+from threatloom.llm.components import components, joined
 
 #: Bits of each block of the sketch.
 BITS = 4096
@@ -58,6 +61,9 @@ ROUNDS = 4
 LEAST_KEYS = 16
 #: Sets of a bin that are compared in one task; more are cut into parts.
 PART = 2048
+#: Times that hubs are drawn anew, at most, and the comparisons for each set that
+#: are left for pairs without a hub.
+DRAWS, PAIRS = 8, 4
 #: Words whose hashes a worker remembers; beyond it starts anew.
 REMEMBERED = 200_000
 
@@ -232,6 +238,15 @@ def unsettled(placed: DataFrame) -> DataFrame:
     return placed.join(around.where("lo <> hi").drop("lo", "hi"), ["key", "bin"])
 
 
+def many_left(rows: DataFrame) -> bool:
+    """Whether ``rows`` have more pairs in the same or in neighbouring bins than
+    ``PAIRS`` for each row."""
+    bins = rows.groupBy("key", "bin").agg(F.count(F.lit(1)).alias("m"))
+    after = bins.select("key", (F.col("bin") - 1).alias("bin"), F.col("m").alias("next"))
+    pairs = F.sum(F.col("m") * ((F.col("m") - 1) / 2 + F.coalesce("next", F.lit(0))))
+    return bool(bins.join(after, ["key", "bin"], "left").agg((pairs > PAIRS * F.sum("m")).alias("many")).first()["many"])
+
+
 def refolded(bits: Column, need: Column) -> Column:
     """The folded sketch, folded further to four bits or more for each shingle that
     linked sets of the band may differ in."""
@@ -242,6 +257,19 @@ def refolded(bits: Column, need: Column) -> Column:
     return bits
 
 
+def folded_as(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """``rows`` with their sketches, folded as their band needs it."""
+    return rows.join(bits.drop("_size"), "_id").withColumn("_bits", refolded(F.col("_bits"), F.col("need")))
+
+
+def allowed(p: int, q: int) -> Column:
+    """Whether two rows of a bucket differ in component, and sizes, distances to the
+    hub and sketches allow the similarity."""
+    most = (F.col("na") + F.col("nb")) * (q - p)
+    within = (F.col("ca") != F.col("cb")) & (F.abs(F.col("ha") - F.col("hb")) * (q + p) <= most) & (F.least("na", "nb") * q >= F.greatest("na", "nb") * p)
+    return within & (distance() * (q + p) <= most)
+
+
 def first_shared() -> Column:
     """Whether no smaller key than ``key`` is among the least keys of both sets.  A key
     that both lists hold is the pair's first one if it is the least of these."""
@@ -259,12 +287,22 @@ def neighbours(rows: DataFrame, p: int, q: int) -> DataFrame:
     left = left.select("key", (F.col("bin") + F.col("up")).alias("bin"), "up", part(F.col("r")).alias("i"), each(F.col("r")).alias("j"), F.col("_id").alias("a"), F.col("_n").alias("na"), F.col("component").alias("ca"), F.col("differ").alias("ha"), F.col("_bits").alias("ba"), F.col("_least").alias("ka"))
     own = F.col("parts")[0]
     right = rows.select("key", "bin", each(own).alias("i"), part(own).alias("j"), F.col("_id").alias("b"), F.col("_n").alias("nb"), F.col("component").alias("cb"), F.col("differ").alias("hb"), F.col("_bits").alias("bb"), F.col("_least").alias("kb"))
-    most = (F.col("na") + F.col("nb")) * (q - p)
-    within = ((F.col("up") == 1) | (F.col("a") < F.col("b"))) & (F.col("ca") != F.col("cb")) & (F.abs(F.col("ha") - F.col("hb")) * (q + p) <= most) & (F.least("na", "nb") * q >= F.greatest("na", "nb") * p)
-    found = left.join(right, ["key", "bin", "i", "j"]).where(within & (distance() * (q + p) <= most) & first_shared())
+    once = (F.col("up") == 1) | (F.col("a") < F.col("b"))
+    found = left.join(right, ["key", "bin", "i", "j"]).where(once & allowed(p, q) & first_shared())
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def met(rows: DataFrame, bits: DataFrame, draw: int, p: int, q: int) -> DataFrame:
+    """Pairs (``a``, ``b``) of each row with one drawn hub of its bin, and of either
+    bin beside it, of another component, where sizes and sketches allow a link."""
+    at = F.col("bin")
+    hubs = rows.groupBy("key", "bin").agg(F.min_by(F.struct("_id", "_n", "component", "differ", "need"), F.xxhash64("_id", "key", F.lit(draw))).alias("hub"))
+    hubs = folded_as(hubs.select("key", "bin", "hub.*"), bits)
+    hubs = hubs.select("key", F.explode(F.array(at - 1, at, at + 1)).alias("bin"), F.col("_id").alias("b"), F.col("_n").alias("nb"), F.col("component").alias("cb"), F.col("differ").alias("hb"), F.col("_bits").alias("bb"))
+    left = folded_as(rows, bits).select("key", "bin", F.col("_id").alias("a"), F.col("_n").alias("na"), F.col("component").alias("ca"), F.col("differ").alias("ha"), F.col("_bits").alias("ba"))
+    return left.join(hubs, ["key", "bin"]).where(allowed(p, q)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def of_round(rows: DataFrame, k: int) -> DataFrame:
     """The rows whose key belongs to the ``k``-th of ``ROUNDS`` parts."""
     return rows.where(F.pmod(F.shiftright("key", 1), F.lit(ROUNDS)) == k)
@@ -320,24 +358,28 @@ def jaccard_classes(df: DataFrame, words: int, p: int, q: int, id_col: str = "do
     bits = sketches.select("_id", "_bits", F.col("_n").alias("_size"))
     stars = cut(compared(members.where("_id <> hub").select(F.col("_id").alias("a"), F.col("hub").alias("b")).distinct(), bits))
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return written(text_of(ids).mapInArrow(set_maker(words), f"_id {kind}, _set array<long>"), "parity-sets")
+
+    def linked(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         ends = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
-        sets = written(text_of(ends).mapInArrow(set_maker(words), f"_id {kind}, _set array<long>"), "parity-sets")
-        out = cut(verified(pairs, sets).where(similar(p, q)).select("a", "b"))
-        removed(sets)
+        own = sets_of(ends) if sets is None else None
+        out = cut(verified(pairs, own if sets is None else sets).where(similar(p, q)).select("a", "b"))
+        if own is not None:
+            removed(own)
         return out
 
-    links = linked(stars.where(may_link(p, q)).select("a", "b"))
-    found = components(links)
+    found = components(linked(stars.where(may_link(p, q)).select("a", "b")))
 
     # Pairs in one bucket whose components differ still.  Bins by the distance to
     # the hub: linked sets are in one bin or in neighbours.  Of a bin only those
     # rows are left around which there is another component.
-    label = found.select(F.col("node").alias("_id"), "component")
+    def labelled(rows: DataFrame) -> DataFrame:
+        label = found.select(F.col("node").alias("_id"), "component")
+        return rows.join(label, "_id", "left").withColumn("component", F.coalesce("component", "_id"))
+
     placed = written(
-        members.where("_id <> hub")
-        .join(label, "_id", "left")
-        .withColumn("component", F.coalesce("component", "_id"))
+        labelled(members.where("_id <> hub"))
         .join(stars.select(F.col("a").alias("_id"), F.col("b").alias("hub"), "differ"), ["_id", "hub"])
         .withColumn("bin", F.floor(F.col("differ") / F.col("need")).cast("int"))
         .select("key", "_id", "_n", "need", "component", "differ", "bin"),
@@ -346,18 +388,37 @@ def jaccard_classes(df: DataFrame, words: int, p: int, q: int, id_col: str = "do
     removed(members)
     open_rows = written(unsettled(placed), "parity-unsettled")
     removed(placed)
+
+    # While many pairs are left, each bin's rows against hubs drawn anew.  The sets
+    # of all rows that take part are made once.
+    sets = None
+    for draw in range(DRAWS):
+        if not many_left(open_rows):
+            break
+        if sets is None:
+            sets = sets_of(open_rows.select("_id").distinct())
+        some = cut(compared(met(open_rows, bits, draw, p, q), bits).where(may_link(p, q)).select("a", "b"))
+        new = linked(some, sets)
+        if new.isEmpty():
+            break
+        found = joined(found, new)
+        before, open_rows = open_rows, written(unsettled(labelled(open_rows.drop("component", "parts"))), "parity-unsettled")
+        removed(before)
+        if new.count() * 4 < some.count():  # most of what is left does not link
+            break
     least = open_rows.groupBy("_id").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LEAST_KEYS).alias("_least"))  # at most D + 1 keys of either band
-    wide = open_rows.join(least.join(bits.drop("_size"), "_id"), "_id").withColumn("_bits", refolded(F.col("_bits"), F.col("need")))
-    open_keys = written(wide, "parity-open")
+    open_keys = written(folded_as(open_rows.join(least, "_id"), bits), "parity-open")
     removed(open_rows)
     rest = None
     for k in range(ROUNDS):
         part = written(neighbours(of_round(open_keys, k), p, q), "parity-rest")
         rest = part if rest is None else rest.unionByName(part)
     removed(open_keys)
-    more = linked(cut(compared(rest.distinct(), bits).where(may_link(p, q)).select("a", "b")))
+    more = linked(cut(compared(rest.distinct(), bits).where(may_link(p, q)).select("a", "b")), sets)
+    if sets is not None:
+        removed(sets)
     if not more.isEmpty():
-        found = components(links.unionByName(more))
+        found = joined(found, more)
 
     classes = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").where("copies > 1 OR component IS NOT NULL")
     classes = classes.select(*digest, F.coalesce("component", "rep").alias("component_id"))
