@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -18,30 +20,35 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-#: Letters that patterns without case take for i, s, but that do not become these in small letters.
-_UNUSUAL = ("\u017f", "\u0130", "\u0131")
+#: Letters that patterns without case take for i, s, but that do not become these in
+#: small letters (the first is what \u0130 becomes).
+UNUSUAL = {"i\u0307": "i", "\u017f": "s", "\u0130": "i", "\u0131": "i"}
+
+
+def beyond_ascii(text: Column) -> Column:
+    """Whether a text has a character that is not ASCII; the others need no look at characters."""
+    return F.length(text) < F.octet_length(text)
+
+
+def foreign(text: Column) -> Column:
+    """The characters beyond ASCII."""
+    return F.regexp_replace(text, "[\\x00-\\x7F]+", "")
 
 
 def small(text: Column) -> Column:
     """The text in small letters, for :func:`may_match`."""
-    return F.lower(text)
+    plain = F.lower(text)
+    for unusual, letter in UNUSUAL.items():
+        plain = F.replace(plain, F.lit(unusual), F.lit(letter))
+    return F.when(beyond_ascii(text), plain).otherwise(F.lower(text))
 
 
 def may_match(low: Column, pattern: Pattern) -> Column | None:
-    """A cheap condition that holds wherever the pattern matches the text whose small
-    letters are ``low``: searches for strings that a match must have, which cost a
-    fraction of a pattern's.  None if the pattern has no such strings."""
-    needs = pattern.needs()
-    if not needs:
-        return None
-    out = low.contains(needs[0])
-    for n in needs[1:]:
-        out = out | low.contains(n)
-    if pattern.ignore_case and any(c in "is" for n in needs for c in n):
-        for c in _UNUSUAL:
-            out = out | low.contains(c)
-        out = out | low.contains("i\u0307")  # what \u0130 becomes
-    return out
+    """A cheap condition that holds wherever the pattern matches the text that
+    :func:`small` made ``low`` of: searches for strings that a match must have, which
+    cost a fraction of a pattern's.  None if the pattern has no such strings."""
+    needs = [low.contains(s) for s in pattern.needs()]
+    return functools.reduce(operator.or_, needs) if needs else None
 
 
 def match(text: Column, pattern: Pattern, group: int = 0) -> Column:
@@ -63,12 +70,12 @@ def all_matches(text: Column, pattern: Pattern, group: int = 0) -> Column:
 
 def words(text: Column) -> Column:
     """As Python's ``split()``: words between white space, none empty."""
-    return F.filter(F.split(text, SPACES), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACES), "")
 
 
 def non_ascii(text: Column) -> Column:
     """Number of characters beyond ASCII."""
-    return F.length(F.regexp_replace(text, "[\\x00-\\x7F]", ""))
+    return F.length(foreign(text))
 
 
 def entropy(text: Column) -> Column:

@@ -36,6 +36,10 @@ class Pattern:
         """Small ASCII strings of which any match holds one, or none if that can't be told."""
         return _needs(self.source)
 
+    def needs_each(self) -> tuple[tuple[str, ...], ...]:
+        """As :meth:`needs`, all that can be told: any match holds a string of each tuple."""
+        return _needs_each(self.source)
+
     def re2(self) -> str:
         on = "i" * self.ignore_case + "s" * self.dot_all + "m" * self.multi_line
         off = "" if self.dot_all else "-s"
@@ -47,19 +51,27 @@ SHORTEST_NEED, MOST_NEEDS = 3, 8
 
 
 @functools.lru_cache(maxsize=None)
-def _needs(source: str) -> tuple[str, ...]:
+def _needs_each(source: str) -> tuple[tuple[str, ...], ...]:
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
-            found = _needed(re._parser.parse(source))
+            options = _options(re._parser.parse(source))
         except re.error:
             return ()
-    return tuple(sorted(found)) if found else ()
+    return tuple(tuple(sorted(o)) for o in sorted(set(options), key=_worth, reverse=True))
+
+
+def _needs(source: str) -> tuple[str, ...]:
+    return next(iter(_needs_each(source)), ())
+
+
+def _worth(option: frozenset[str]) -> tuple:
+    return min(map(len, option)) / len(option) ** 0.5, sorted(option)
 
 
-def _needed(items) -> frozenset[str] | None:
-    """Of a sequence of parsed items the best strings: runs of literals, or what an
-    item that must occur needs itself."""
+def _options(items) -> list[frozenset[str]]:
+    """What a sequence of parsed items needs: runs of literals, and what items that
+    must occur need themselves."""
     options: list[frozenset[str]] = []
     run = ""
 
@@ -75,18 +87,16 @@ def _needed(items) -> frozenset[str] | None:
             run += chr(value).lower()
             continue
         closed()
-        inner = None
         if name == "SUBPATTERN":
-            inner = _needed(value[3])
+            options += _options(value[3])
         elif name in ("MAX_REPEAT", "MIN_REPEAT") and value[0] > 0:
-            inner = _needed(value[2])
+            options += _options(value[2])
         elif name == "BRANCH":
-            each = [_needed(b) for b in value[1]]
-            inner = frozenset().union(*each) if all(each) else None
-        if inner and len(inner) <= MOST_NEEDS:
-            options.append(inner)
+            each = [max(_options(b), key=_worth, default=frozenset()) for b in value[1]]
+            if all(each) and len(both := frozenset().union(*each)) <= MOST_NEEDS:
+                options.append(both)
     closed()
-    return max(options, key=lambda o: (min(map(len, o)) / len(o) ** 0.5, sorted(o)), default=None)
+    return options
 
 
 def _quantifier(source: str, at: int) -> bool:

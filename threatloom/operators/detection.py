@@ -87,6 +87,11 @@ def present(columns: Iterable[Column]) -> Column:
     return F.filter(F.array(*columns), lambda d: d.isNotNull()).cast(DETECTIONS)
 
 
+def where(condition: Column, detections: Column) -> Column:
+    """``detections`` where the condition holds, else none."""
+    return F.when(condition, detections).otherwise(F.array().cast(DETECTIONS))
+
+
 def all_hits(text: Column, rules: Iterable[Rule]) -> Column:
     """A detection for each rule that matches."""
     rules = list(rules)
