@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from threatloom import queries
 from threatloom.functions.screens import MayMatch, Text
-from threatloom.operators import prompts
+from threatloom.operators import outputs, prompts, reasoning
 from threatloom.operators.detection import signatures
 
 ODD = [
@@ -34,3 +34,22 @@ def test_plain_texts_need_no_check():
     passed = {name for name, test in prompts.TESTS.items() if test(plain)}
     assert passed <= {"flooding"}  # one passage often, as the check finds
     assert not MayMatch.of(r.pattern for r in prompts.FAST)(Text("you are what you read now and then"))
+
+
+OUTPUTS = [
+    "sk_live_" + "a" * 20, "pwd: 'abcdefgh'", "PAſſWORD = 'abcdefgh'", "AKIA" + "Z" * 16, "a" * 64, "x" + "0" * 64, "4" + "1" * 15, "123-45-6789", "١٢٣-٤٥-٦٧٨٩", "email: a@b.org", "seed phrase: " + "word " * 12, "recovery = " + "a b c d e f g h i j k l",
+    "see httpſ://a.b.c.d.e.f/x", "HTTP://" + "deadbeef" * 4 + ".example.org", "a.b.c.d.e.f", "ſ.ſ.ſ.ſ.ſ.ſ", "aq9zx7lm3kp5wv2rt8y.a.b.org", "wait... what... no...", "x " + "0af" * 14, "I'll hide it", "my real goal", "however " * 4 + "x" * 200, "however " * 5 + "x" * 200, "even though " * 5 + "y" * 190, "but actually instead although despite contrary to " * 5,
+]
+
+
+def test_output_screens_do_not_change_results(spark):
+    texts = queries.LITERALS + ODD + OUTPUTS
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    text = prompts.safe_text(F.col("text"))
+    for screen, make in ((outputs.SCREEN, outputs.output_detections), (reasoning.SCREEN, reasoning.reasoning_detections)):
+        rows = screen.over(df, text).select("id", signatures(make(text, seen=screen.seen)).alias("a"), signatures(make(text)).alias("b")).collect()
+        assert len(rows) == len(texts)
+        for r in rows:
+            assert r["a"] == r["b"], texts[r["id"]]
+    plain = Text("The ferry leaves at nine: bring bread, cheese and a map. " * 40)
+    assert not any(test(plain) for test in [*outputs.TESTS.values(), *reasoning.TESTS.values()])

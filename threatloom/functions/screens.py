@@ -64,17 +64,20 @@ Test = Callable[[Text], bool]
 
 @dataclass(frozen=True)
 class MayMatch:
-    """Whether any of the patterns may match, by the strings that their matches hold."""
+    """Whether any of the patterns may match, by the strings that their matches hold
+    and the longest word that these are in."""
 
-    needs: tuple[tuple[tuple[str, ...], ...], ...]
+    needs: tuple[tuple[int, tuple[tuple[str, ...], ...]], ...]
 
     @staticmethod
     def of(patterns: Iterable[Pattern]) -> MayMatch:
-        return MayMatch(tuple(p.needs_each() for p in patterns))
+        return MayMatch(tuple((_run(p.source), p.needs_each()) for p in patterns))
 
     def __call__(self, t: Text) -> bool:
         low = t.low
-        for each in self.needs:
+        for run, each in self.needs:
+            if run and t.longest < run:
+                continue
             for strings in each:
                 for s in strings:
                     if s in low:
@@ -86,6 +89,22 @@ class MayMatch:
         return False
 
 
+def _run(source: str) -> int:
+    """Fewest characters, none of them white space, of a repeated class in each match."""
+    try:
+        items = re._parser.parse(source)
+    except re.error:
+        return 0
+    least = 0
+    for name, value in items:
+        if str(name) == "MAX_REPEAT" and len(value[2]) == 1 and str(value[2][0][0]) == "IN":
+            parts = value[2][0][1]
+            ends = [v if str(n) == "RANGE" else (v, v) for n, v in parts if str(n) in ("RANGE", "LITERAL")]
+            if len(ends) == len(parts) and all(32 < a and b < 127 for a, b in ends):
+                least = max(least, value[0])
+    return least
+
+
 def most_equal(items: Iterable[str]) -> int:
     return max(Counter(items).values(), default=0)
 

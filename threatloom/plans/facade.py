@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threatloom.functions.screens import Screen
 from threatloom.operators import code, definitions, images, memory, outputs, prompts, reasoning, requests, sessions, tools, transactions
-from threatloom.operators.detection import ALLOW, BLOCK, DETECTIONS, detection, is_blocked
+from threatloom.operators.detection import ALLOW, BLOCK, DETECTIONS, detection, is_blocked, where
 from threatloom.operators.settings import DEFAULT, Settings
-from threatloom.sources.catalog import Signature, catalog_detections
+from threatloom.sources.catalog import Signature, catalog_detections, screen_test
 
 def masked(decisions: DataFrame, layer: str) -> DataFrame:
     """Decisions as the caller sees them, with the ``layer`` that decided."""
@@ -40,13 +41,16 @@ def fail_closed(decisions: DataFrame, error: Column, settings: Settings = DEFAUL
 def check_prompts(df: DataFrame, signatures: list[Signature], settings: Settings = DEFAULT, text_col: str = "text", session_col: str | None = None, ts_col: str = "ts", id_col: str = "prompt_id") -> DataFrame:
     """With ``session_col``, conversations are folded too: rows of a session are
     brought together once for that, with their scores only, and joined by id."""
-    found = catalog_detections(F.coalesce(F.col(text_col), F.lit("")), signatures, ["prompt_injection", "indirect_injection"])
+    text, categories = F.coalesce(F.col(text_col), F.lit("")), ["prompt_injection", "indirect_injection"]
+    screen = Screen(**prompts.TESTS, catalog=screen_test(signatures, categories))
+    found = where(screen.seen("catalog"), catalog_detections(text, signatures, categories))
     if session_col is None:
-        return masked(prompts.check_prompts(df, text_col, settings, found), prompts.LAYER)
+        return masked(prompts.check_prompts(screen.over(df, text), text_col, settings, found, screen=screen), prompts.LAYER).drop(screen.COLUMN)
     fold = sessions.escalation(df, session_col, ts_col, text_col, id_col).select(F.col(session_col).alias("_session"), F.col(id_col).alias("_prompt"), F.col("level").alias("_rise"), F.col("cumulative").alias("_sum"))
     both = df.join(fold, F.col(session_col).eqNullSafe(F.col("_session")) & (F.col(id_col) == F.col("_prompt")), "left")
     rises = sessions.crescendo_detections(F.col("_rise"), F.col("_sum"))
-    return masked(prompts.check_prompts(both, text_col, settings, F.concat(found, rises)).drop("_session", "_prompt", "_rise", "_sum"), prompts.LAYER)
+    out = prompts.check_prompts(screen.over(both, text), text_col, settings, F.concat(found, rises), screen=screen)
+    return masked(out.drop("_session", "_prompt", "_rise", "_sum", screen.COLUMN), prompts.LAYER)
 
 
 def check_requests(df: DataFrame, settings: Settings = DEFAULT, agent_col: str | None = None, instance_col: str | None = None) -> DataFrame:
@@ -123,17 +127,19 @@ def check_outputs(df: DataFrame, signatures: list[Signature], settings: Settings
         leaks = outputs.canary_leaks(df, canaries, id_col, session_col, text_col).select(F.col(id_col).alias("_leak_id"), F.col("signature_id").alias("_leak"), F.col("token").alias("_token"))
         df = df.join(leaks, F.col(id_col) == F.col("_leak_id"), "left")
         canary = outputs.canary_detections(F.col("_leak"), F.col("_token"))
-    found = catalog_detections(F.coalesce(F.col(text_col), F.lit("")), signatures, ["data_exfiltration"])
-    first = outputs.check_outputs(df, text_col, url_col, settings, found, canary)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    screen = Screen(**outputs.TESTS, **reasoning.TESTS, catalog=screen_test(signatures, ["data_exfiltration"]))
+    found = where(screen.seen("catalog"), catalog_detections(text, signatures, ["data_exfiltration"]))
+    first = outputs.check_outputs(screen.over(df, text), text_col, url_col, settings, found, canary, screen)
     if canary is not None:
         first = first.drop("_leak_id", "_leak", "_token")
     goal = F.col(goal_col) if goal_col else None
-    second = reasoning.reasoning_detections(F.coalesce(F.col(text_col), F.lit("")), goal)
+    second = reasoning.reasoning_detections(text, goal, screen.seen)
     both = first.withColumn("_second", F.when(~is_blocked(F.col("verdict")), second).otherwise(F.array().cast(DETECTIONS)))
     call = reasoning.verdict(F.col("_second"), settings)
     blocked = is_blocked(F.col("verdict"))
     out = both.withColumn("detections", F.when(blocked, F.col("detections")).otherwise(F.col("_second"))).withColumn("layer", F.when(blocked, outputs.LAYER).otherwise(reasoning.LAYER))
-    out = out.withColumn("verdict", F.when(blocked, F.col("verdict")).otherwise(call)).drop("_second")
+    out = out.withColumn("verdict", F.when(blocked, F.col("verdict")).otherwise(call)).drop("_second", screen.COLUMN)
     seen = is_blocked(F.col("verdict"))
     return out.withColumn("layer", F.when(seen, F.col("layer")).otherwise("facade")).withColumn("detections", F.when(seen, F.col("detections")).otherwise(F.array().cast(DETECTIONS))).withColumn("verdict", F.when(seen, F.col("verdict")).otherwise(ALLOW)).withColumn("threat_count", F.size("detections"))
 
