@@ -53,3 +53,9 @@ def test_output_screens_do_not_change_results(spark):
             assert r["a"] == r["b"], texts[r["id"]]
     plain = Text("The ferry leaves at nine: bring bread, cheese and a map. " * 40)
     assert not any(test(plain) for test in [*outputs.TESTS.values(), *reasoning.TESTS.values()])
+
+
+def test_prompts_run_behind_the_screen(spark):
+    for query in (queries.prompt_check, queries.facade_prompts, queries.toxic_confusion):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "ArrowEvalPython" in plan
